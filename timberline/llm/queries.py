@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import clusters, near_dup
-from timberline.session import table
+from timberline.llm import clusters, near_dup, runs
+from timberline.operators import entries
+from timberline.session import cut, table
 
 TABLES = ("analyze_request", "analysis_log")
 
@@ -44,6 +45,29 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(_failures(spark, sf_dir))
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, entries.Templates]:
+    lines = table(spark, sf_dir, "line_index")
+    t = entries.mine_templates(lines.select("message_preview"))
+    return lines, runs.runs(lines, t), t
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir)[1].select("file_id", "first_line", "last_line")
+
+
+def p7_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run as one event: first and last line, count and, from the entries' own stamps, begin and duration (null where
+    the first or last entry has none)."""
+    lines, found, t = _runs(spark, sf_dir)
+    files = table(spark, sf_dir, "index_manifest").groupBy("file_id").agg(F.max(F.unix_micros(F.col("mtime").cast("timestamp"))).alias("seen_us"))
+    zones = table(spark, sf_dir, "log_source").select("source_file", "time_zone").dropDuplicates(["source_file"])
+    at = cut(entries.line_instants(lines, files, zones, t).select("file_id", "line_number", "utc_us"), "instants")
+    begin = at.select("file_id", F.col("line_number").alias("first_line"), F.col("utc_us").alias("begin_us"))
+    end = at.select("file_id", F.col("line_number").alias("last_entry"), F.col("utc_us").alias("end_us"))
+    both = found.join(begin, ["file_id", "first_line"], "left").join(end, ["file_id", "last_entry"], "left")
+    return both.select("file_id", "first_line", "last_line", F.col("n").alias("count"), "begin_us", (F.col("end_us") - F.col("begin_us")).alias("duration_us"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
