@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import clusters, near_dup, runs
+from timberline.llm import bpe, clusters, near_dup, qdigest, runs
 from timberline.operators import entries
 from timberline.session import cut, table
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+PERCENTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+EPS = 0.005
 TABLES = ("analyze_request", "analysis_log")
 
 
@@ -68,6 +71,28 @@ def p7_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("file_id", "first_line", "last_line", F.col("n").alias("count"), "begin_us", (F.col("end_us") - F.col("begin_us")).alias("duration_us"))
 
 
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = table(spark, sf_dir, "analyze_response_meta").select("request_no", "model_used", "platform_detected", "duration_ms", "cost_usd", "served_at").dropDuplicates(["request_no"])
+    metrics = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("duration_ms", "cost_usd")))).alias("m")
+    long = once.select("model_used", "platform_detected", F.to_date("served_at").alias("day"), metrics).select("model_used", "platform_detected", "day", "m.metric", "m.value")
+    return qdigest.digests(long, ["model_used", "platform_detected", "metric", "day"], "value", EPS)
+
+
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per model, platform and metric from daily digests, within EPS of n ranks and 2**-9 of the value."""
+    by = ["model_used", "platform_detected", "metric"]
+    return qdigest.percentiles(qdigest.merge(_daily(spark, sf_dir), by, EPS), by, PERCENTS, EPS)
+
+
+def p1_daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _daily(spark, sf_dir)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, TOKENIZER).dropDuplicates(["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
