@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, clusters, near_dup, qdigest, runs
+from timberline.llm import bpe, clusters, leaks, near_dup, qdigest, runs
 from timberline.operators import entries
 from timberline.session import cut, table
 
@@ -93,6 +93,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, TOKENIZER).dropDuplicates(["doc_id"])
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.removal_spans(_leaks(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
