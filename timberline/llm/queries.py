@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, clusters, leaks, near_dup, qdigest, runs
+from timberline.llm import bpe, clusters, leaks, mojibake, near_dup, qdigest, runs
 from timberline.operators import entries
 from timberline.session import cut, table
 
@@ -105,6 +105,15 @@ def p9_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.removal_spans(_leaks(spark, sf_dir))
 
 
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mojibake.repaired(docs, mojibake.train(docs))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_restored(spark, sf_dir).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
