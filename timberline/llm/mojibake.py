@@ -43,6 +43,7 @@ CHAINS: tuple[tuple[str, ...], ...] = (
     ("utf-8", "cp1252", "utf-8", "latin-1"),
     ("utf-8", "cp1251", "utf-8", "cp1251"),
 )
+_OTHER_SCRIPT = {"cp1251", "koi8-r", "cp866", "gbk", "big5"}  # their words are written in letters above 127 throughout
 _STRICT = np.array([False, *(c[0] != "utf-8" and c not in _LOSSY for c in CHAINS)])
 CLASSES = ("clean", *(">".join(c) for c in CHAINS))
 
@@ -168,7 +169,7 @@ class Model:
         runs, at, size = _best_stretch(gain)
         total = np.where(_STRICT, runs / 3, np.maximum(gain, 0).sum(axis=0))
         order = np.argsort(-total, kind="stable")
-        for k in order[:6]:
+        for k in order:
             if total[k] < MARGIN or k == 0:
                 break
             chain = CHAINS[k - 1]
@@ -176,8 +177,11 @@ class Model:
                 if lost:
                     return CLASSES[k], None
                 continue
-            if _STRICT[k] and (gain[at[k] : at[k] + size[k], k] > 0).sum() < max(3, 0.7 * size[k]):
-                continue
+            if _STRICT[k]:
+                speak = gain[at[k] : at[k] + size[k], k] > 0
+                odd = sum(c > "\x7f" for w in words[at[k] : at[k] + size[k]] for c in w)
+                if speak.sum() < 0.7 * size[k] or speak.sum() < (2 if odd >= 6 and CHAINS[k - 1][0] in _OTHER_SCRIPT else 3):
+                    continue
             out, last, better, failed = [], 0, 0.0, lost
             for (a, b), w, g in zip(spans, words, gain[:, k]):
                 if g <= 0:
