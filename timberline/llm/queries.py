@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, clusters, leaks, mojibake, near_dup, qdigest, runs
+from timberline.llm import bpe, clusters, leaks, mojibake, near_dup, pii, qdigest, runs
 from timberline.operators import entries
 from timberline.session import cut, table
 
@@ -27,6 +27,22 @@ def _tab_name() -> F.Column:
     return F.when(F.col("tab") == 0, TABLES[0]).otherwise(TABLES[1]).alias("record_table")
 
 
+def _free_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    a = table(spark, sf_dir, "analyze_request").select(F.col("request_id").alias("key"), F.col("log_text").alias("text"))
+    b = table(spark, sf_dir, "log_record").select(F.col("id").alias("key"), F.col("content").alias("text"))
+    return {"analyze_request": a, "log_record": b}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (pii.find(t).select(F.lit(n).alias("record_table"), F.col("key").alias("record_key"), "line_no", "pii_type") for n, t in _free_texts(spark, sf_dir).items())
+    return a.unionAll(b)
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (pii.redacted(t.dropDuplicates(["key"])).select(F.lit(n).alias("record_table"), F.col("key").alias("record_key"), "text") for n, t in _free_texts(spark, sf_dir).items())
+    return a.unionAll(b)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_dup.id_pairs(*near_dup.similar_sets(_near_texts(spark, sf_dir)))
     return pairs.select(_tab_name(), "id_a", "id_b")
