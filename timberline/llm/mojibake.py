@@ -7,12 +7,14 @@ into sentences of each line; the non-ASCII words of a sentence are scored togeth
 "clean" by MARGIN is inverted word by word and verified: the inverse must decode strictly and read better as clean text
 than before. Where the sentence holds U+FFFD or marks of lost bytes the damage cannot be undone; it is reported, not restored.
 
-Every record and every sentence is scored; only the training sample is bounded (SAMPLE_ROWS records of least key hash).
+Every record and every sentence is scored; only the training sample is bounded (SAMPLE_ROWS records
+of least key hash, of SAMPLE_CHARS letters at most).
 Null, empty, blank and ASCII-only texts are clean. Repeated rows of a key count once."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 3000
+SAMPLE_CHARS = 20_000
 HASH_BITS = 15
 MARGIN = 4.0
 LOST = "�"
@@ -83,8 +86,24 @@ def _encode(text: str, enc: str) -> bytes:
     return text.encode(enc)
 
 
+_CYRILLIC, _HAN = re.compile("[\u0400-\u04ff]"), re.compile("[\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef]")
+_SCRIPT = {"cp1251": _CYRILLIC, "koi8-r": _CYRILLIC, "cp866": _CYRILLIC, "gbk": _HAN, "big5": _HAN}
+
+
+def writes(enc: str, words: str) -> bool:
+    """Whether words would be written in an encoding: in its script, or for a Latin one with most letters plain."""
+    odd = sum(c > "\x7f" for c in words)
+    if enc == "utf-8" or not odd:
+        return True
+    if enc in _SCRIPT:
+        return len(_SCRIPT[enc].findall(words)) >= 0.3 * odd
+    return odd <= sum(c.isalpha() and c <= "\x7f" for c in words)
+
+
 def garble(text: str, chain: tuple[str, ...]) -> str | None:
     """Write in the first, read as the second, and so on. None if nothing changes or the script is not the encoding's."""
+    if not writes(chain[0], text):
+        return None
     for s, w in zip(chain[::2], chain[1::2]):
         raw = text.encode(s, "replace")
         if s != "utf-8" and raw.count(b"?") - text.count("?") > 0.3 * sum(c > "\x7f" for c in text):
@@ -240,20 +259,23 @@ def fit(records: list[str], rounds: int = 2) -> Model:
     units = [t[a:b] for t in records for a, b in sentences(t) if not t[a:b].isascii()]
     model = None
     for _ in range(rounds):
-        keep = units if model is None else [u for u in units if model.judge(u) is None]
+        # only what was UTF-8 leaves the sample: a mistake about letters of one script would drop that script's clean text
+        keep = units if model is None else [u for u in units if (j := model.judge(u)) is None or not j[0].startswith("utf-8")]
         n = np.full((1 << HASH_BITS, len(CLASSES)), 0.05)
-        texts = list(dict.fromkeys(" ".join(u[a:b] for a, b in odd_words(u)) for u in keep))
+        # sentences of one wording count as often as they occur, so a few garbled records stay few
+        texts = Counter(" ".join(u[a:b] for a, b in odd_words(u)) for u in keep)
         for k, chain in enumerate((None, *CHAINS)):
-            made = texts if chain is None else [t for x in texts if (t := garble(x, chain))]
+            made = [" ".join([t] * c) for x, c in texts.items() if (t := x if chain is None else garble(x, chain))]
             n[:, k] += np.bincount(_hashed(" ".join(made).encode("utf-8")), minlength=1 << HASH_BITS)
         model = Model(np.log(n / n.sum(axis=0)))
     return model
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on the `rows` records with non-ASCII letters of least key hash."""
-    picked = docs.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(text, F.xxhash64(key).alias("h")).orderBy("h").limit(rows)
-    return fit([r[0][:20_000] for r in picked.select(text).collect()])
+    """Fit on the `rows` records of least key hash among those with non-ASCII letters and at most SAMPLE_CHARS letters."""
+    usable = F.col(text).rlike(r"[^\x00-\x7F]") & (F.length(text) <= SAMPLE_CHARS)
+    picked = docs.where(usable).select(text, F.xxhash64(key).alias("h")).orderBy("h").limit(rows)
+    return fit([r[0] for r in picked.select(text).collect()])
 
 
 def repaired(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
