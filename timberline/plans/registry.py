@@ -5,13 +5,584 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timberline.operators import entries
+from timberline.functions import line_columns as L
+from timberline.functions import patterns as P
+from timberline.operators import analysis as A
+from timberline.operators import entries, series, trends
+from timberline.operators import fingerprint as X
+from timberline.operators import index as I
+from timberline.operators import similarity as S
+from timberline.session import cut, shared_dir, table
+from timberline.sources import files
+from timberline.sources.lines import LOG_LINES_SQL, from_text, index_lines, log_lines
+from timberline.streaming import pipeline
+
+AS_OF = "2025-04-01 00:00:00"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# -- SQL pieces -------------------------------------------------------------------------------------------------------
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def has(c: str, pattern: str) -> str:
+    return f"regexp_matches({c}, {q(pattern)})"
+
+
+def case(c: str, rules: list[tuple[str, str]], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {has(c, p)} THEN {q(k)}" for k, p in rules) + f" ELSE {other} END"
+
+
+def chain(c: str, rules: list[tuple[str, str]]) -> str:
+    for p, to in rules:
+        c = f"regexp_replace({c}, {q(p)}, {q(to)}, 'g')"
+    return c
+
+
+LINES = "WITH log_lines AS (" + LOG_LINES_SQL.replace("EVENTS_TABLE", "events") + ")"
+STORED = "WITH log_lines AS (SELECT DISTINCT file_id AS doc_id, CAST(line_number - 1 AS BIGINT) AS pos, message_preview AS line FROM line_index)"
+LEVEL = case("line", [(k, rf"(?i)\b{P.LEVEL_WORD[k]}\b") for k in P.LEVEL_PRIORITY], "'UNKNOWN'")
+LEFT = f"upper(regexp_extract(line, {q(P.LEVEL_LEFTMOST)}, 1))"
+STRIP = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+ERR = has("line", "(?i)" + "|".join(P.ERROR_WORDS))
+STATS_ERR = has("line", "(?i)" + "|".join(P.STATS_ERROR_WORDS))
+A_ERR = has("line", P.ANOMALY_ERROR)
+FLAG = {k: has("line", p) for k, p in P.ANOMALY.items()}
+A_TYPE = "CASE " + " ".join(f"WHEN {FLAG[k]} THEN '{k}'" for k in P.ANOMALY) + " END"
+SEV = f"CASE WHEN {FLAG['crash']} OR {FLAG['burst']} THEN 'critical' WHEN {FLAG['repeated']} OR {FLAG['resource']} THEN 'high' WHEN {FLAG['slow']} OR {FLAG['ratelimit']} THEN 'medium' WHEN {A_ERR} THEN 'low' ELSE 'normal' END"
+
+
+def _ext(pattern: str, g: int = 1) -> str:
+    return f"nullif(regexp_extract(line, {q(pattern)}, {g}), '')"
+
+
+def _epoch(expr: str) -> str:
+    return f"epoch_us(TRY_CAST({expr} AS TIMESTAMP))"
+
+
+_SP = lambda e: f"regexp_replace(replace({e}, ',', '.'), '\\s+', ' ', 'g')"
+_SANE = lambda e: f"CASE WHEN {e} BETWEEN 946684800000000 AND 4102444800000000 THEN {e} END"
+_SEC = f"(CAST({_ext(P.STAMP_SECONDS)} AS BIGINT) * 1000000 + CAST(rpad(regexp_extract(line, {q(P.STAMP_SECONDS)}, 2), 6, '0') AS BIGINT))"
+_SYS = f"epoch_us(try_strptime('2024 ' || regexp_replace({_ext(P.STAMP_SYSLOG)}, '\\s+', ' ', 'g'), '%Y %b %-d %H:%M:%S'))"
+_USD = f"regexp_replace({_ext(P.STAMP_US)}, '^(\\d{{2}})-(\\d{{2}})-(\\d{{4}})\\s+', '\\3-\\1-\\2 ')"
+STAMP = f"coalesce(epoch_us(CAST(TRY_CAST({_ext(P.STAMP_ISO)} AS TIMESTAMPTZ) AS TIMESTAMPTZ)), {_epoch(_SP(_ext(P.STAMP_SPACE)))}, {_SYS}, {_SANE(_SEC)}, {_SANE(f'(CAST({_ext(P.STAMP_MILLIS)} AS BIGINT) * 1000)')}, {_epoch(_SP(f'replace({_ext(P.STAMP_SLASH)}, chr(47), chr(45))'))}, {_epoch(_USD)})"
+_DUR = lambda g, k: f"coalesce(TRY_CAST(nullif(regexp_extract(line, {q(P.DURATION)}, {g}), '') AS DOUBLE), 0) * {k}"
+DURATION = f"nullif({_DUR(1, 3600.0)} + {_DUR(2, 60.0)} + {_DUR(3, 1.0)}, 0)"
+STAMPED = f"{LINES}, st AS (SELECT doc_id, pos, {STAMP} AS us FROM log_lines), ok AS (SELECT * FROM st WHERE us IS NOT NULL), iv AS (SELECT doc_id, pos, (us - lag(us) OVER (PARTITION BY doc_id ORDER BY pos)) / 1e6 AS interval_s FROM ok), ivs AS (SELECT * FROM iv WHERE interval_s IS NOT NULL)"
+NORMAL = f"lower(regexp_replace({chain('line', P.FINGERPRINT_REWRITES)}, '^\\s+|\\s+$', '', 'g'))"
+CACHE = f"lower(regexp_replace({chain('line', P.CACHE_REWRITES)}, '^\\s+|\\s+$', '', 'g'))"
+LOG = "(SELECT DISTINCT id, cluster_id, platform, created_at, error_fingerprint, raw_log_hash, time_to_resolve_minutes FROM analysis_log) a"
+META = "(SELECT DISTINCT request_no, model_used, platform_detected, cache_status, duration_ms, cost_usd, served_at FROM analyze_response_meta) a"
+
+
+# -- problems of the core ---------------------------------------------------------------------------------------------
+
+
+@query()
+def p4_found(spark, d):
+    return entries.found_instants(spark, d)
+
+
+@query()
+def p5_found(spark, d):
+    return entries.found_entries(spark, d)
+
+
+# -- lines, levels, filters -------------------------------------------------------------------------------------------
+
+
+@query(f"{LINES} SELECT doc_id, {LEVEL} AS level, count(*) AS n FROM log_lines GROUP BY ALL")
+def level_histogram_index(spark, d):
+    return A.level_histogram(log_lines(spark, d))
+
+
+@query(f"{LINES} SELECT doc_id, CASE {LEFT} WHEN '' THEN 'UNKNOWN' WHEN 'WARNING' THEN 'WARN' ELSE {LEFT} END AS level, count(*) AS n FROM log_lines GROUP BY ALL")
+def level_histogram_stats(spark, d):
+    return A.level_histogram_leftmost(log_lines(spark, d))
+
+
+@query(f"{STORED} SELECT doc_id, {LEVEL} AS level, count(*) AS n FROM log_lines GROUP BY ALL")
+def stored_level_histogram(spark, d):
+    return A.level_histogram(index_lines(spark, d))
+
+
+@query(f"{LINES} SELECT doc_id, count(*) AS total_lines, count(*) FILTER (lower(line) LIKE '%error%') AS error_count, count(*) FILTER (lower(line) LIKE '%warn%') AS warning_count, count(*) FILTER (lower(line) LIKE '%fatal%') AS fatal_count FROM log_lines GROUP BY doc_id")
+def error_stats(spark, d):
+    return A.totals(log_lines(spark, d))
+
+
+def _index(spark, d):
+    return table(spark, d, "line_index").select("file_id", "line_number", "timestamp_us", "level", "message_preview")
+
+
+@query("SELECT DISTINCT file_id, line_number, level FROM line_index WHERE level IN ('ERROR','CRITICAL','FATAL')")
+def filter_min_level(spark, d):
+    return A.filtered(_index(spark, d), least="ERROR").select("file_id", "line_number", "level").distinct()
+
+
+@query("SELECT DISTINCT file_id, line_number FROM line_index WHERE contains(lower(message_preview), 'quota')")
+def filter_keyword(spark, d):
+    return A.filtered(_index(spark, d), keyword="Quota").select("file_id", "line_number").distinct()
+
+
+@query("SELECT DISTINCT file_id, line_number, coalesce(timestamp_us, 0) AS timestamp_us FROM line_index WHERE coalesce(timestamp_us, 0) = 0 OR timestamp_us BETWEEN 1735689600000000 AND 1738367999999999")
+def filter_time_range(spark, d):
+    f = A.filtered(_index(spark, d), between=(1_735_689_600_000_000, 1_738_367_999_999_999))
+    return f.select("file_id", "line_number", F.coalesce("timestamp_us", F.lit(0)).alias("timestamp_us")).distinct()
+
+
+@query("SELECT DISTINCT file_id, line_number, message_preview FROM line_index WHERE line_number BETWEEN 10 AND 20")
+def line_range(spark, d):
+    return _index(spark, d).where(F.col("line_number").between(10, 20)).select("file_id", "line_number", "message_preview").distinct()
+
+
+@query(f"{LINES} SELECT doc_id, CAST(pos + 1 AS INT) AS line_number, CAST(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - octet_length(encode(line)) - 1 AS BIGINT) AS byte_offset, CAST(octet_length(encode(line)) + 1 AS INT) AS line_length, {STAMP} AS timestamp_us, {LEVEL} AS level, substr({STRIP}, 1, 200) AS message_preview FROM log_lines")
+def line_index_rows(spark, d):
+    return A.byte_offsets(log_lines(spark, d))
+
+
+@query(f"{LINES}, st AS (SELECT doc_id, {STAMP} AS us FROM log_lines) SELECT doc_id, count(*) AS total, count(us) AS stamped, round(count(us) / count(*), 4) AS coverage, min(us) AS min_us, max(us) AS max_us FROM st GROUP BY doc_id")
+def timestamp_coverage(spark, d):
+    return A.coverage(log_lines(spark, d))
+
+
+@query("SELECT request_no AS doc_id, count(*) AS n, sum(len(line)) AS chars FROM (SELECT request_no, unnest(CASE WHEN log_text = '' THEN [] WHEN log_text LIKE '%' || chr(10) THEN string_split(log_text[:-2], chr(10)) ELSE string_split(log_text, chr(10)) END) AS line FROM (SELECT DISTINCT request_no, replace(log_text, chr(13) || chr(10), chr(10)) AS log_text FROM analyze_request)) GROUP BY request_no")
+def split_texts(spark, d):
+    docs = table(spark, d, "analyze_request").dropDuplicates(["request_no"])
+    return from_text(docs, "request_no", "log_text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+# -- statistics, anomalies, patterns ----------------------------------------------------------------------------------
+
+
+@query(f"{LINES} SELECT doc_id, count(*) AS total_lines, count(*) FILTER ({STATS_ERR}) AS error_lines, round(count(*) FILTER ({STATS_ERR}) / count(*), 4) AS error_density, round(avg(length(line)), 2) AS avg_line_length, max(length(line)) AS max_line_length, count(*) FILTER ({has('line', P.STACK_LINE)}) AS stacktrace_lines, count(DISTINCT CASE WHEN lower(line) LIKE '%error%' THEN substr({STRIP}, 1, 80) END) AS unique_errors FROM log_lines GROUP BY doc_id")
+def stats_summary(spark, d):
+    return A.statistics(log_lines(spark, d))
+
+
+@query(f"{LINES} SELECT label, n FROM (SELECT {case('line', P.ERROR_LABELS, 'NULL')} AS label, count(*) AS n, min((doc_id, pos)) AS f FROM log_lines GROUP BY 1) WHERE label IS NOT NULL ORDER BY n DESC, f LIMIT 10")
+def top_error_patterns(spark, d):
+    return A.top_error_patterns(log_lines(spark, d))
+
+
+@query(f"{LINES} SELECT * FROM (SELECT doc_id, pos, {A_TYPE} AS anomaly_type, {SEV} AS severity FROM log_lines) WHERE anomaly_type IS NOT NULL")
+def anomaly_rows(spark, d):
+    return A.anomalies(log_lines(spark, d))
+
+
+@query(f"{LINES} SELECT {SEV} AS severity, count(*) AS n FROM log_lines GROUP BY 1")
+def severity_distribution(spark, d):
+    return A.severity_histogram(log_lines(spark, d))
+
+
+@query(f"{LINES}, t AS (SELECT doc_id, {A_TYPE} AS t, {SEV} AS s, {FLAG['burst']} AS b FROM log_lines) SELECT doc_id, bool_or(b) AS has_burst, count(t) AS total_anomalies, count(*) FILTER (s IN ('high','critical')) AS high_severity, round(count(t) / count(*), 4) AS anomaly_density FROM t GROUP BY doc_id")
+def anomaly_summary(spark, d):
+    return A.anomaly_summary(log_lines(spark, d))
+
+
+@query(f"{LINES} SELECT doc_id, {case('line', P.LINE_CATEGORIES, q('info'))} AS category, count(*) AS n FROM log_lines GROUP BY ALL")
+def error_categories(spark, d):
+    return A.categories(log_lines(spark, d))
+
+
+@query(f"{LINES} SELECT doc_id, pos, " + ", ".join(f"regexp_extract(line, {q(P.VERSION_CONFLICT)}, {i}) AS {n}" for i, n in enumerate(("package", "expected", "actual", "actual_version"), 1)) + f" FROM log_lines WHERE {has('line', P.VERSION_CONFLICT)}")
+def version_conflicts(spark, d):
+    return A.version_conflicts(log_lines(spark, d))
+
+
+@query(f"{LINES} SELECT doc_id, trim(regexp_extract(line, {q(P.DEPENDENCY_ERROR)}, 1)) AS dependency, min(pos) AS first_pos, count(*) AS n FROM log_lines WHERE {has('line', P.DEPENDENCY_ERROR)} GROUP BY 1, 2")
+def dependency_errors(spark, d):
+    return A.dependencies(log_lines(spark, d))
+
+
+@query(f"{LINES}, p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(line, {q(P.FILE_PATH)})) AS path FROM log_lines), r AS (SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS rank FROM p) SELECT * FROM r WHERE rank <= 30")
+def file_paths(spark, d):
+    return A.file_paths(log_lines(spark, d))
+
+
+@query(f"{LINES}, g AS (SELECT doc_id, substr({STRIP}, 1, 80) AS signature, count(*) AS n, min(pos) AS first_pos FROM log_lines GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS rank FROM g WHERE signature <> '') SELECT * FROM r WHERE rank <= 20")
+def repeated_errors(spark, d):
+    return A.repeated(log_lines(spark, d))
+
+
+@query(f"{LINES}, e AS (SELECT doc_id, {STRIP} AS error_line, min(pos) AS first_pos FROM log_lines WHERE {ERR} AND length({STRIP}) >= 5 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS rank FROM e) SELECT * FROM r WHERE rank <= 30")
+def error_lines(spark, d):
+    return A.error_lines(log_lines(spark, d))
+
+
+_SIG = ", ".join(f"max(CAST({has('line', '(?i)' + s)} AS INT)) AS s{i}_{j}" for i, ss in enumerate(P.PLATFORM_SIGNATURES.values()) for j, s in enumerate(ss))
+_SCORES = [(" + ".join(f"s{i}_{j}" for j in range(len(ss))), n) for i, (n, ss) in enumerate(P.PLATFORM_SIGNATURES.items())]
+_BEST = "greatest(" + ", ".join(f"({s})" for s, _ in _SCORES) + ")"
+
+
+@query(f"{LINES}, g AS (SELECT doc_id, {_SIG} FROM log_lines GROUP BY doc_id), b AS (SELECT *, {_BEST} AS score FROM g) SELECT doc_id, CASE WHEN score = 0 THEN 'Unknown' " + " ".join(f"WHEN {s} = score THEN {q(n)}" for s, n in _SCORES) + " END AS platform, score FROM b")
+def platform_detect(spark, d):
+    return A.platform(log_lines(spark, d))
+
+
+@query(f"{LINES}, n AS (SELECT doc_id, count(*) AS n, sum(length(line) + 1) - 1 AS chars FROM log_lines GROUP BY doc_id) SELECT doc_id, pos, CASE WHEN chars > 6000 AND n > 150 THEN n - 150 ELSE 0 END AS omitted FROM log_lines JOIN n USING (doc_id) WHERE NOT (chars > 6000 AND n > 150) OR pos < 50 OR pos >= n - 100")
+def truncated_log(spark, d):
+    return A.truncated(log_lines(spark, d))
+
+
+_DEEP = case("lower(line)", P.DEEP_CATEGORIES, "NULL")
+
+
+@query(f"{LINES} SELECT doc_id, pos, {_DEEP} AS category, array_to_string(regexp_extract_all(line, {q(P.VERSION_NUMBER)})[1:5], ',') AS versions, array_to_string(regexp_extract_all(line, {q(P.FILE_PATH)}), ',') AS paths, {DURATION} AS duration_s, {has('line', P.STACK_LINE)} AS is_stacktrace, substr({STRIP}, 1, 80) AS signature FROM log_lines")
+def hydrate_lines(spark, d):
+    return A.hydrate(log_lines(spark, d))
+
+
+# -- timeline ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"{STAMPED}, s AS (SELECT doc_id, avg(interval_s) AS mu, coalesce(stddev_samp(interval_s), 0) AS sd FROM ivs GROUP BY doc_id), g AS (SELECT doc_id, pos, interval_s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM ivs JOIN s USING (doc_id) WHERE interval_s > CASE WHEN sd > 0 THEN mu + 3 * sd ELSE 5 * mu END) SELECT * FROM g WHERE rank <= 20")
+def timeline_gaps(spark, d):
+    return A.gaps(log_lines(spark, d))
+
+
+_SHUFFLED = LINES.replace("WITH log_lines AS (", "WITH base AS (") + ", log_lines AS (SELECT doc_id, pos + CASE WHEN pos % 7 = 0 THEN 5.5 ELSE 0 END AS pos, line FROM base)"
+
+
+@query(f"{_SHUFFLED}, st AS (SELECT doc_id, pos, {STAMP} AS us FROM log_lines), iv AS (SELECT doc_id, us - lag(us) OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM st WHERE us IS NOT NULL) SELECT doc_id, count(*) FILTER (i < 0) AS regressions FROM iv WHERE i IS NOT NULL GROUP BY doc_id")
+def time_regressions(spark, d):
+    shuffled = log_lines(spark, d).withColumn("pos", F.col("pos") + F.when(F.col("pos") % 7 == 0, 5.5).otherwise(0.0))
+    return A.regressions(shuffled)
+
+
+@query(f"{LINES}, t AS (SELECT doc_id, {DURATION} AS s FROM log_lines) SELECT doc_id, count(*) AS n, round(sum(s), 3) AS total_s, round(avg(s), 3) AS avg_s, max(s) AS max_s, min(s) AS min_s FROM t WHERE s IS NOT NULL GROUP BY doc_id")
+def duration_stats(spark, d):
+    return A.durations(log_lines(spark, d))
+
+
+@query(f"{STAMPED} SELECT strftime(make_timestamp(us), '%Y-%m-%d %H:%M') AS minute, count(*) AS n FROM ok GROUP BY 1 ORDER BY n DESC, minute LIMIT 20")
+def event_density(spark, d):
+    return A.minute_density(log_lines(spark, d))
+
+
+@query(f"{STAMPED} SELECT doc_id, arg_min(us, pos) AS first_us, arg_max(us, pos) AS last_us, (arg_max(us, pos) - arg_min(us, pos)) / 1e6 AS span_s FROM ok GROUP BY doc_id")
+def time_range(spark, d):
+    return A.time_span(log_lines(spark, d))
+
+
+# -- text transforms --------------------------------------------------------------------------------------------------
+
+
+@query(f"{LINES}, n AS (SELECT doc_id, pos, {NORMAL} AS normalized, line FROM log_lines) SELECT doc_id, pos, normalized, sha256(normalized) AS fingerprint, sha256({CACHE}) AS cache_key, md5(line) AS content_key FROM n")
+def line_fingerprints(spark, d):
+    lines = log_lines(spark, d).withColumn("key", F.struct("doc_id", "pos"))
+    return X.fingerprints(lines, "key", "line").select("key.doc_id", "key.pos", "normalized", "fingerprint", "cache_key", "content_key")
+
+
+@query(f"{LINES}, n AS (SELECT doc_id, pos, regexp_extract_all({NORMAL}, {q(P.SKELETON_TOKEN)}) AS t FROM log_lines) SELECT doc_id, pos, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS skeleton FROM n")
+def skeletons(spark, d):
+    return log_lines(spark, d).select("doc_id", "pos", L.skeleton(L.fingerprint_text(F.col("line"))).alias("skeleton"))
+
+
+_TRI = "CASE WHEN length(s) >= 3 THEN list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) WHEN s = '' THEN [] ELSE [s] END"
+
+
+@query(
+    f"{LINES}, n AS (SELECT doc_id, pos, {NORMAL} AS s FROM log_lines), t AS (SELECT doc_id, pos, {_TRI} AS g FROM n), p AS (SELECT doc_id, pos, g, lag(g) OVER (PARTITION BY doc_id ORDER BY pos) AS h FROM t), j AS (SELECT doc_id, pos, len(list_intersect(g, h)) AS c, len(g) + len(h) AS u FROM p WHERE h IS NOT NULL) SELECT doc_id, pos, round(CASE WHEN u - c = 0 THEN 1.0 ELSE c / (u - c) END, 9) AS similarity FROM j"
+)
+def shingle_jaccard(spark, d):
+    """Each line against the line before."""
+    from pyspark.sql.window import Window
+
+    t = log_lines(spark, d).select("doc_id", "pos", L.trigrams(L.fingerprint_text(F.col("line"))).alias("g"))
+    p = t.withColumn("h", F.lag("g").over(Window.partitionBy("doc_id").orderBy("pos"))).where("h is not null")
+    return p.select("doc_id", "pos", F.round(L.jaccard(F.col("g"), F.col("h")), 9).alias("similarity"))
+
+
+_SECRETS = [(p, r) for _, p, r in P.SECRET_RULES]
+
+
+@query(f"{LINES} SELECT doc_id, pos, CASE WHEN {has('line', P.SECRET_SIGN)} THEN {chain('line', _SECRETS)} ELSE line END AS line FROM log_lines")
+def secrets_redacted(spark, d):
+    return A_redact(log_lines(spark, d))
+
+
+def A_redact(lines: DataFrame) -> DataFrame:
+    return X.redacted_lines(lines)
+
+
+def _audit_sql() -> str:
+    c, parts = "line", []
+    for name, p, to in P.SECRET_RULES:
+        parts.append(f"SELECT {q(name)} AS rule, sum(len(regexp_extract_all({c}, {q(p)}))) AS n FROM hit")
+        c = f"regexp_replace({c}, {q(p)}, {q(to)}, 'g')"
+    return f"{LINES}, hit AS (SELECT line FROM log_lines WHERE {has('line', P.SECRET_SIGN)}) SELECT rule, CAST(n AS BIGINT) AS n FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
+
+
+@query(_audit_sql())
+def secrets_audit(spark, d):
+    return X.audit(log_lines(spark, d))
+
+
+@query()
+def records_redacted(spark, d):
+    return X.redacted_records(table(spark, d, "log_record").dropDuplicates(["id"])).select("id", "content", "error_lines", "metadata")
+
+
+def _sanitize_sql() -> str:
+    gate = " OR ".join(f"contains(lower(log_text), {q(w)})" for w in P.TRIPWIRES)
+    return f"SELECT request_no, CASE WHEN {gate} THEN {chain('log_text', [(p, '[REDACTED]') for _, p in P.INJECTIONS])} ELSE log_text END AS cleaned FROM (SELECT DISTINCT request_no, log_text FROM analyze_request)"
+
+
+@query(_sanitize_sql())
+def sanitized_texts(spark, d):
+    return X.sanitized(table(spark, d, "analyze_request").dropDuplicates(["request_no"]), "request_no", "log_text").select("request_no", "cleaned")
+
+
+def _strip_sql() -> str:
+    c = "replace(replace(text, chr(13), ''), chr(160), ' ')"
+    for _ in range(5):
+        c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+        for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'")):
+            c = f"replace({c}, {q(a)}, {q(b)})"
+    return f"SELECT doc_id, md5(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) AS digest FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL"
+
+
+@query(_strip_sql())
+def markup_stripped(spark, d):
+    docs = table(spark, d, "documents").dropDuplicates(["doc_id"]).where("text is not null")
+    c = F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit(" "), F.lit(" "))
+    return docs.select("doc_id", F.md5(X.strip_markup(c)).alias("digest"))
+
+
+@query("SELECT id, json_extract_string(analysis_result_json, '$.severity') AS severity FROM (SELECT DISTINCT id, analysis_result_json FROM analysis_log)")
+def result_severity(spark, d):
+    r = X.parsed_json(F.col("analysis_result_json"), "severity string, error_summary string")
+    return trends.once(table(spark, d, "analysis_log")).select("id", r["severity"].alias("severity"))
+
+
+# -- clusters over time -----------------------------------------------------------------------------------------------
+
+
+def _log(spark, d):
+    return trends.once(table(spark, d, "analysis_log"))
+
+
+@query(f"SELECT cluster_id, count(*) AS n FROM {LOG} WHERE cluster_id IS NOT NULL AND created_at >= TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 30 DAYS GROUP BY 1 ORDER BY n DESC, cluster_id LIMIT 10")
+def trending_clusters(spark, d):
+    return trends.trending(_log(spark, d), AS_OF, 30)
+
+
+@query(f"SELECT cluster_id, count(*) AS total, count(*) FILTER (created_at >= TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 7 DAYS) AS last_7_days, count(*) FILTER (created_at >= TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 30 DAYS) AS last_30_days, round(avg(time_to_resolve_minutes), 2) AS avg_resolve_minutes, epoch_us(min(created_at)) AS first_us, epoch_us(max(created_at)) AS last_us FROM {LOG} WHERE cluster_id IS NOT NULL GROUP BY 1")
+def cluster_insight(spark, d):
+    i = trends.insight(_log(spark, d), AS_OF)
+    return i.select("cluster_id", "total", "last_7_days", "last_30_days", "avg_resolve_minutes", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
+
+
+@query(f"SELECT c.day, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series(DATE '2025-04-01' - INTERVAL 29 DAYS, DATE '2025-04-01', INTERVAL 1 DAY)) AS DATE) AS day) c LEFT JOIN (SELECT CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n FROM {LOG} GROUP BY 1) g USING (day)")
+def daily_trend(spark, d):
+    return trends.daily(_log(spark, d), AS_OF)
+
+
+@query("SELECT k AS platform, CAST(sum(v) AS BIGINT) AS n FROM (SELECT unnest(map_keys(platform_distribution)) AS k, unnest(map_values(platform_distribution)) AS v FROM error_cluster) GROUP BY 1")
+def platform_totals(spark, d):
+    return trends.map_totals(table(spark, d, "error_cluster"))
+
+
+@query(f"WITH g AS (SELECT count(*) FILTER (created_at >= t - INTERVAL 7 DAYS AND created_at < t) AS this_week, count(*) FILTER (created_at >= t - INTERVAL 14 DAYS AND created_at < t - INTERVAL 7 DAYS) AS last_week, count(DISTINCT CASE WHEN created_at >= t - INTERVAL 7 DAYS AND created_at < t THEN cluster_id END) AS active_clusters FROM (SELECT *, TIMESTAMPTZ '{AS_OF}+00' AS t FROM {LOG})) SELECT *, round((this_week - last_week) * 100 / nullif(last_week, 0), 1) AS delta_percent FROM g")
+def week_over_week(spark, d):
+    return trends.week_over_week(_log(spark, d), AS_OF)
+
+
+@query(f"SELECT cluster_id, count(*) AS n FROM {LOG} WHERE cluster_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, cluster_id LIMIT 20 OFFSET 20")
+def paged_clusters(spark, d):
+    n = trends.counts_by(_log(spark, d).where("cluster_id is not null"), "cluster_id")
+    return trends.page(n, [F.desc("n"), F.col("cluster_id")], 2, 20)
+
+
+@query(f"SELECT cluster_id, epoch_us(min(created_at)) AS first_us, epoch_us(max(created_at)) AS last_us, count(*) AS occurrence_count, arg_min(error_fingerprint, (created_at, id)) AS centroid_fingerprint, array_to_string(list(id ORDER BY id DESC)[1:3], ',') AS samples FROM {LOG} WHERE cluster_id IS NOT NULL GROUP BY 1")
+def cluster_rollup(spark, d):
+    r = trends.rollup(_log(spark, d))
+    return r.select("cluster_id", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "occurrence_count", "centroid_fingerprint", F.concat_ws(",", F.col("representative_samples").cast("array<string>")).alias("samples"))
+
+
+@query(f"SELECT cluster_id, last_seen >= TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 30 DAYS AS is_active FROM error_cluster")
+def active_clusters(spark, d):
+    return trends.active(table(spark, d, "error_cluster"), AS_OF).select("cluster_id", "is_active")
+
+
+@query(f"SELECT id FROM {LOG} WHERE created_at >= TIMESTAMPTZ '2025-03-01 00:00:00+00' AND raw_log_hash NOT IN (SELECT raw_log_hash FROM {LOG.replace(') a', ') b')} WHERE created_at < TIMESTAMPTZ '2025-03-01 00:00:00+00' AND raw_log_hash IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY raw_log_hash ORDER BY id) = 1")
+def dedup_sink(spark, d):
+    """Rows of March whose raw text was not stored before; of equal ones the first id."""
+    log = _log(spark, d)
+    day = F.lit("2025-03-01").cast("timestamp")
+    first = log.where(F.col("created_at") >= day).groupBy("raw_log_hash").agg(F.min("id").alias("id"))
+    return trends.only_new(first, log.where(F.col("created_at") < day), "raw_log_hash").select("id")
+
+
+@query(f"SELECT raw_log_hash, arg_max(id, (created_at, id)) AS id FROM {LOG} WHERE raw_log_hash IS NOT NULL GROUP BY 1")
+def upsert_sink(spark, d):
+    """The stored table after its own rows of March came in as updates by raw text."""
+    log = _log(spark, d).where("raw_log_hash is not null").select("raw_log_hash", "id", F.struct("created_at", "id").alias("at"))
+    old = log.where("at.created_at < timestamp'2025-03-01'")
+    have = old.groupBy("raw_log_hash").agg(F.max("at").alias("at")).select("raw_log_hash", F.col("at.id").alias("id"), "at")
+    return trends.upsert(have, log.where("at.created_at >= timestamp'2025-03-01'"), "raw_log_hash", "at").select("raw_log_hash", "id")
+
+
+@query("SELECT cluster_id, '| ' || CAST(cluster_id AS VARCHAR) || ' | ' || CAST(coalesce(occurrence_count, 0) AS VARCHAR) || ' | ' || CASE WHEN avg_severity_score >= 3.5 THEN 'critical' WHEN avg_severity_score >= 2.5 THEN 'high' WHEN avg_severity_score >= 1.5 THEN 'medium' ELSE 'low' END || ' | ' || repeat('█', least(coalesce(occurrence_count, 0), 20)) || ' |' AS line FROM error_cluster")
+def cluster_report(spark, d):
+    return trends.report_markdown(table(spark, d, "error_cluster"))
+
+
+@query("SELECT cluster_id, ord, id, l.platform FROM (SELECT cluster_id, unnest(representative_samples) AS id, generate_subscripts(representative_samples, 1) - 1 AS ord FROM error_cluster WHERE representative_samples IS NOT NULL) s JOIN (SELECT DISTINCT id, platform FROM analysis_log) l USING (id)")
+def cluster_samples(spark, d):
+    """Representative ids to their rows, order kept."""
+    s = table(spark, d, "error_cluster").select("cluster_id", F.posexplode("representative_samples").alias("ord", "id"))
+    return s.join(_log(spark, d).select("id", "platform"), "id").select("cluster_id", "ord", "id", "platform")
+
+
+# -- ledgers and series -----------------------------------------------------------------------------------------------
+
+
+def _meta(spark, d):
+    return table(spark, d, "analyze_response_meta").dropDuplicates(["request_no"])
+
+
+@query(f"SELECT CAST(served_at AT TIME ZONE 'UTC' AS DATE) AS day, model_used, count(*) AS calls, round(sum(CAST(cost_usd AS DECIMAL(18,6))), 6) AS cost FROM {META} GROUP BY 1, 2")
+def daily_cost(spark, d):
+    return _meta(spark, d).groupBy(F.to_date("served_at").alias("day"), "model_used").agg(F.count("*").alias("calls"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("decimal(38,6)").alias("cost"))
+
+
+@query(f"SELECT request_no, sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) OVER (PARTITION BY CAST(served_at AT TIME ZONE 'UTC' AS DATE) ORDER BY served_at, request_no ROWS UNBOUNDED PRECEDING) AS running FROM {META}")
+def budget_running(spark, d):
+    e = _meta(spark, d).select("request_no", F.col("served_at").alias("ts"), F.coalesce("cost_usd", F.lit(0.0)).cast("decimal(18,6)").alias("c"))
+    return trends.running_total(e, F.to_date("ts"), ["ts", "request_no"], "c").select("request_no", F.col("running").cast("decimal(38,6)").alias("running"))
+
+
+@query(f"SELECT platform_detected, cache_status, count(*) AS n FROM {META} GROUP BY 1, 2")
+def request_counts(spark, d):
+    return trends.counts_by(_meta(spark, d), "platform_detected", "cache_status")
+
+
+_BOUNDS = [100, 500, 1000, 2500, 5000, 10000, 30000, 60000]
+
+
+@query(f"SELECT platform_detected, {', '.join(f'count(*) FILTER (v <= {b}) AS le_{b}' for b in _BOUNDS)}, count(v) AS n FROM (SELECT platform_detected, CASE WHEN isnan(duration_ms) THEN NULL ELSE duration_ms END AS v FROM {META}) GROUP BY 1")
+def duration_histogram(spark, d):
+    return trends.histogram(_meta(spark, d).withColumn("v", F.nanvl("duration_ms", F.lit(None).cast("double"))), "v", [float(b) for b in _BOUNDS], "platform_detected")
+
+
+@query()
+def lttb_costs(spark, d):
+    """Durations over time, per platform, down to 200 points each."""
+    p = _meta(spark, d).where("duration_ms is not null and not isnan(duration_ms)")
+    p = p.select(F.coalesce("platform_detected", F.lit("none")).alias("series"), (F.unix_micros("served_at") / 1e6).alias("x"), F.col("duration_ms").alias("y"), "request_no")
+    return series.largest_triangles(p, "series", 200, ["x", "request_no"], F.floor(F.col("x") / 86_400))
+
+
+def _calls(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+
+@query()
+def rate_limit(spark, d):
+    return series.admitted(_calls(spark, d), "user_id", ["t", "event_id"], series.Sliding, 5, 86_400.0).select("user_id", "event_id", "admitted")
+
+
+@query()
+def token_bucket(spark, d):
+    return series.admitted(_calls(spark, d), "user_id", ["t", "event_id"], series.Bucket, 5, 86_400.0).select("user_id", "event_id", "admitted")
+
+
+@query("WITH log_lines AS (SELECT DISTINCT file_id AS doc_id, line_number - 1 AS pos FROM line_index), m AS (SELECT file_id AS doc_id, max(total_lines) AS prev_count FROM index_manifest GROUP BY 1) SELECT doc_id, pos FROM log_lines LEFT JOIN m USING (doc_id) WHERE pos >= coalesce(prev_count, 0)")
+def incremental_tail(spark, d):
+    """Lines past the total that the manifest recorded."""
+    seen = table(spark, d, "index_manifest").groupBy(F.col("file_id").alias("doc_id")).agg(F.max("total_lines").alias("prev_count"))
+    return series.fresh(index_lines(spark, d).select("doc_id", "pos"), seen).select("doc_id", "pos")
+
+
+# -- vectors ----------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("grp"), "embedding")
+
+
+_COS = "SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id {on} WHERE a.vec_id % 50 = 0"
+
+
+@query(f"SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM ({_COS.format(on='')})) WHERE rank <= 5")
+def vector_topk(spark, d):
+    v = _vectors(spark, d)
+    return S.top_k(v, v.where("vec_id % 50 = 0"), 5, same_group=False).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT query_id, vec_id, CASE WHEN s >= 0.4 THEN 'hit' WHEN s >= 0.3 THEN 'context' ELSE 'miss' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM ({_COS.format(on='AND a.label = b.label')})) WHERE rank = 1")
+def cache_tier(spark, d):
+    """Best row of the same label and its tier, thresholds as parameters."""
+    v = _vectors(spark, d)
+    best = S.top_k(v, v.where("vec_id % 50 = 0"), 1)
+    return best.select("query_id", "vec_id", S.tier(F.col("score"), F.lit(1.0), 0.4, 0.3).alias("tier"))
+
+
+# -- files, indexes, streams ------------------------------------------------------------------------------------------
+
+
+def _as_file(spark, d) -> str:
+    """The log view as text files in the shared folder."""
+    import uuid
+
+    at = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    log_lines(spark, d).select("line").write.text(at)
+    return at
+
+
+@query(f"{LINES} SELECT {LEVEL} AS level, count(*) AS n, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM log_lines GROUP BY 1")
+def file_scan(spark, d):
+    """Byte-range scan of text files."""
+    lines = files.read_lines(spark, f"{_as_file(spark, d)}/*.txt", split_bytes=1 << 16)
+    return lines.groupBy(L.level(F.col("line")).alias("level")).agg(F.count("*").alias("n"), F.sum("line_length").cast("bigint").alias("bytes"))
+
+
+@query(f"{LINES} SELECT line, count(*) AS n FROM log_lines GROUP BY 1")
+def read_by_offset(spark, d):
+    """Every line read again by its byte range."""
+    at = _as_file(spark, d)
+    idx = cut(files.read_lines(spark, f"{at}/*.txt", split_bytes=1 << 16).select("path", "byte_offset", "line_length"), "ranges")
+    req = idx.withColumn("ordinal", F.xxhash64("path", "byte_offset"))
+    return files.read_ranges(req).groupBy(F.col("text").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH log_lines AS (SELECT coalesce(message_preview, '') AS line FROM line_index) SELECT {LEVEL} AS level, count(*) AS n FROM log_lines GROUP BY 1")
+def stream_levels(spark, d):
+    """A04 as a stream over the table's files, deliveries as they come."""
+    return pipeline.drain(pipeline.stream_levels(pipeline.stream_table(spark, d, "line_index")), "complete")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 5 MINUTES, make_timestamp(timestamp_us))) AS start_us, count(*) AS n FROM line_index WHERE timestamp_us > 0 AND level IN ('ERROR','CRITICAL','FATAL') GROUP BY 1 HAVING count(*) > 10")
+def alert_rate(spark, d):
+    """T11 as a stream."""
+    s = pipeline.error_rate(pipeline.stream_table(spark, d, "line_index"), "timestamp_us", late="3650 days")
+    return pipeline.drain(s, "complete").select(F.unix_micros("start").alias("start_us"), "n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": entries.found_instants, "p5_found": entries.found_entries}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["I", "oracle_sql", "queries"]
