@@ -198,7 +198,10 @@ class Model:
                 continue
             if _STRICT[k]:
                 speak = gain[at[k] : at[k] + size[k], k] > 0
-                odd = sum(c > "\x7f" for w in words[at[k] : at[k] + size[k]] for c in w)
+                letters = "".join(words[at[k] : at[k] + size[k]])
+                odd = sum(c > "\x7f" for c in letters)
+                if CHAINS[k - 1][0] in _OTHER_SCRIPT and 2 * sum(c.isalpha() and c <= "\x7f" for c in letters) > odd:
+                    continue
                 if speak.sum() < 0.7 * size[k] or speak.sum() < (2 if odd >= 6 and CHAINS[k - 1][0] in _OTHER_SCRIPT else 3):
                     continue
             out, last, better, failed = [], 0, 0.0, lost
