@@ -48,7 +48,7 @@ def mine_templates(*columns: DataFrame) -> Templates:
     """Templates of all texts in the first columns of the given frames. Each task folds its shapes by longest common
     subsequence, equal shapes of all tasks are added up in Spark, and what reaches the driver is bounded by the number of
     distinct header shapes (at most KEEP per opener and task before adding up). Null and empty texts count for nothing;
-    with no entry at all the templates are empty and no line opens an entry."""
+    with no entry at all the templates are empty and a line opens an entry only by a stamp of its own."""
     parts = [c.mapInArrow(_mine, MINED) for c in columns]
     rows = parts[0]
     for p in parts[1:]:
