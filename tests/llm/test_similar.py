@@ -107,6 +107,13 @@ def test_clusters_neighbours_and_samples(spark):
         assert r["cluster_id"] == r["representative_samples"][0]
 
 
+def test_hot_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "HOT", 4)
+    rows, truth = failures()
+    got = {x["id"]: x["label"] for x in clusters.density_peaks(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert all((got[a] == got[b]) == (truth[a] == truth[b]) for a, b in itertools.combinations(truth, 2))
+
+
 def test_id_blocks_do_not_part_neighbours(spark, monkeypatch):
     monkeypatch.setattr(clusters, "ID_BLOCK", 10)
     rows, truth = failures()
