@@ -78,3 +78,19 @@ def test_incremental(spark):
     lines = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 0)], "doc_id int, pos int")
     seen = spark.createDataFrame([(1, 3)], "doc_id int, prev_count int")
     assert sorted(map(tuple, series.fresh(lines, seen).collect())) == [(1, 3), (1, 4), (2, 0)]
+
+
+def test_windows_over_blocks(spark, monkeypatch):
+    from timberline.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 3)
+    df = spark.createDataFrame([(d, p, p * 10 + d) for d in (1, 2) for p in range(10) if p != 4], "doc int, pos bigint, v bigint")
+    got = blocks.with_previous(df, "doc", "pos", "v", "prev").orderBy("doc", "pos").collect()
+    for d in (1, 2):
+        mine = [r for r in got if r["doc"] == d]
+        assert [r["prev"] for r in mine] == [None] + [r["v"] for r in mine[:-1]]
+    got = blocks.with_running_sum(df, "doc", "pos", F.col("v"), "sum").where("doc = 1").orderBy("pos").collect()
+    total = 0
+    for r in got:
+        total += r["v"]
+        assert r["sum"] == total

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from timberline.functions import patterns as P
 
 
+_PLAIN = re.compile(r"[A-Za-z_ ]+(?:\|[A-Za-z_ ]+)*")
+
+
+def found(c: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; words are searched as bytes, which is several times faster than a regex."""
+    if not _PLAIN.fullmatch(pattern):
+        return c.rlike(P.NEEDS[pattern]) & c.rlike(pattern) if pattern in P.NEEDS else c.rlike(pattern)
+    out = None
+    for word in pattern.split("|"):
+        out = c.contains(word) if out is None else out | c.contains(word)
+    return out
+
+
 def first_match(c: Column, rules: list[tuple[str, str]], other: str | None) -> Column:
     """Label of the first rule whose pattern is found."""
     out = None
     for label, pattern in rules:
-        hit = c.rlike(pattern)
+        hit = found(c, pattern)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(F.lit(other))
 
@@ -136,7 +151,8 @@ def redact(line: Column, custom: list[tuple[str, str, str]] | None = None, full:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct runs of three letters; a shorter text is its own only shingle, an empty one has none."""
+    """Distinct runs of three letters; a shorter text is its own only shingle, an empty one has none. c should be a
+    stored column: a lambda evaluates the expression it is given once per shingle."""
     return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))).when(c == "", F.array().cast("array<string>")).otherwise(F.array(c))
 
 

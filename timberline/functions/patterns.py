@@ -85,6 +85,8 @@ ANOMALY_ERROR = "(?i)error|fail|fatal|exception"
 
 # Categories of lines, first match.
 VERSION_CONFLICT = r"(?i)([\w\-\.]+)\s*@?\s*(\d+\.\d+\.\d+).*?(?:requires|depends|peer).*?([\w\-\.]+)\s*@?\s*(\d+\.\d+\.\d+)"
+#: Words without which the pattern cannot match; the pattern alone backtracks over every line.
+NEEDS = {VERSION_CONFLICT: "(?i)requires|depends|peer"}
 DEPENDENCY_ERROR = r"(?i)(?:Could not find|No matching|Unable to resolve|Failed to download)\s+([\w\-\.\[\]=<>,;\s]+)"
 LINE_CATEGORIES = [
     ("version_conflict", VERSION_CONFLICT),

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from timberline.functions import line_columns as L
 from timberline.functions import patterns as P
+from timberline.operators.blocks import with_previous, with_running_sum
 
 
 
@@ -113,7 +114,7 @@ def categories(lines: DataFrame) -> DataFrame:
 def version_conflicts(lines: DataFrame) -> DataFrame:
     """Package and wanted version, other package and its version."""
     g = [F.regexp_extract("line", P.VERSION_CONFLICT, i) for i in (1, 2, 3, 4)]
-    return lines.where(_line().rlike(P.VERSION_CONFLICT)).select("doc_id", "pos", g[0].alias("package"), g[1].alias("expected"), g[2].alias("actual"), g[3].alias("actual_version"))
+    return lines.where(L.found(_line(), P.VERSION_CONFLICT)).select("doc_id", "pos", g[0].alias("package"), g[1].alias("expected"), g[2].alias("actual"), g[3].alias("actual_version"))
 
 
 def dependencies(lines: DataFrame) -> DataFrame:
@@ -148,8 +149,8 @@ def coverage(lines: DataFrame) -> DataFrame:
 
 def intervals(lines: DataFrame) -> DataFrame:
     """Seconds to the stamped line before, in line order."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return stamped(lines).select("doc_id", "pos", ((F.col("us") - F.lag("us").over(w)) / 1e6).alias("interval_s")).where("interval_s is not null")
+    p = with_previous(stamped(lines), "doc_id", "pos", "us", "before")
+    return p.select("doc_id", "pos", ((F.col("us") - F.col("before")) / 1e6).alias("interval_s")).where("interval_s is not null")
 
 
 def gaps(lines: DataFrame, most: int = 20) -> DataFrame:
@@ -197,11 +198,10 @@ def byte_offsets(lines: DataFrame) -> DataFrame:
     """The row shape of a line index: line number from 1, byte offset, byte length with the line feed, level,
     stamp, preview of 200 letters."""
     size = F.octet_length("line") + 1
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.select(
+    return with_running_sum(lines, "doc_id", "pos", size, "end").select(
         "doc_id",
         (F.col("pos") + 1).cast("int").alias("line_number"),
-        (F.sum(size).over(w) - size).cast("bigint").alias("byte_offset"),
+        (F.col("end") - size).cast("bigint").alias("byte_offset"),
         size.cast("int").alias("line_length"),
         L.stamp_us(_line()).alias("timestamp_us"),
         L.level(_line()).alias("level"),
@@ -211,10 +211,10 @@ def byte_offsets(lines: DataFrame) -> DataFrame:
 
 def hydrate(lines: DataFrame) -> DataFrame:
     """Deep parse of each line."""
-    return lines.select(
+    return lines.withColumn("low", F.lower("line")).select(
         "doc_id",
         "pos",
-        L.first_match(F.lower("line"), P.DEEP_CATEGORIES, None).alias("category"),
+        L.first_match(F.col("low"), P.DEEP_CATEGORIES, None).alias("category"),
         F.array_join(F.slice(F.regexp_extract_all("line", F.lit(P.VERSION_NUMBER), F.lit(0)), 1, 5), ",").alias("versions"),
         F.array_join(F.regexp_extract_all("line", F.lit(P.FILE_PATH), F.lit(0)), ",").alias("paths"),
         L.duration_s(_line()).alias("duration_s"),

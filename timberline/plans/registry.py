@@ -305,7 +305,7 @@ def shingle_jaccard(spark, d):
     """Each line against the line before."""
     from pyspark.sql.window import Window
 
-    t = log_lines(spark, d).select("doc_id", "pos", L.trigrams(L.fingerprint_text(F.col("line"))).alias("g"))
+    t = log_lines(spark, d).select("doc_id", "pos", L.fingerprint_text(F.col("line")).alias("s")).select("doc_id", "pos", L.trigrams(F.col("s")).alias("g"))
     p = t.withColumn("h", F.lag("g").over(Window.partitionBy("doc_id").orderBy("pos"))).where("h is not null")
     return p.select("doc_id", "pos", F.round(L.jaccard(F.col("g"), F.col("h")), 9).alias("similarity"))
 
