@@ -119,3 +119,21 @@ def report_markdown(clusters: DataFrame) -> DataFrame:
     label = F.when(F.col("avg_severity_score") >= 3.5, "critical").when(F.col("avg_severity_score") >= 2.5, "high").when(F.col("avg_severity_score") >= 1.5, "medium").otherwise("low")
     n = F.coalesce("occurrence_count", F.lit(0))
     return clusters.select("cluster_id", F.concat(F.lit("| "), F.col("cluster_id").cast("string"), F.lit(" | "), n.cast("string"), F.lit(" | "), label, F.lit(" | "), F.repeat(F.lit("█"), F.least(n, F.lit(20))), F.lit(" |")).alias("line"))
+
+
+def export_json(clusters: DataFrame) -> DataFrame:
+    """One JSON object per row; maps and arrays become JSON objects and arrays."""
+    return clusters.select(F.to_json(F.struct(*clusters.columns)).alias("json"))
+
+
+def weekly_report(log: DataFrame, clusters: DataFrame, as_of: str, k: int = 10) -> str:
+    """Markdown of the week: change, busiest clusters, days, platforms. Only totals and k rows reach the driver."""
+    w = week_over_week(log, as_of).first()
+    top = trending(log, as_of, 7, k).collect()
+    days = daily(log, as_of, 7).orderBy("day").collect()
+    plats = map_totals(clusters).orderBy(F.desc("n"), "platform").limit(20).collect()
+    bar = lambda n, most: "█" * min(n, most)
+    lines = ["# Week to " + as_of[:10], "", f"Rows: {w['this_week']} (before: {w['last_week']}), active clusters: {w['active_clusters']}", "", "| cluster | rows |", "|-|-|"]
+    lines += [f"| {r['cluster_id']} | {r['n']} |" for r in top] + ["", "| day | rows | |", "|-|-|-|"]
+    lines += [f"| {r['day']} | {r['n']} | {bar(r['n'], 30)} |" for r in days] + ["", "| platform | rows |", "|-|-|"]
+    return "\n".join(lines + [f"| {r['platform']} | {r['n']} |" for r in plats])

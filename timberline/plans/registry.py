@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions import line_columns as L
 from timberline.functions import patterns as P
 from timberline.operators import analysis as A
-from timberline.operators import entries, series, trends
+from timberline.operators import cluster, entries, series, trends
 from timberline.operators import fingerprint as X
 from timberline.operators import index as I
 from timberline.operators import similarity as S
@@ -452,6 +452,44 @@ def cluster_samples(spark, d):
     return s.join(_log(spark, d).select("id", "platform"), "id").select("cluster_id", "ord", "id", "platform")
 
 
+@query()
+def cluster_assign(spark, d):
+    """Leaders in order of id over skeletons."""
+    return cluster.assign(table(spark, d, "analysis_log"), "id", "error_fingerprint")
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length(s) - 1, 2)), lambda i: substr(s, i, 3)))"
+
+
+@query(
+    f"WITH m AS (SELECT cluster_id, id, {_GRAMS} AS g FROM (SELECT cluster_id, id, {NORMAL.replace('(line,', '(error_fingerprint,')} AS s FROM {LOG} WHERE cluster_id IS NOT NULL AND error_fingerprint IS NOT NULL)),"
+    " f AS (SELECT cluster_id, arg_min(g, id) AS f, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 4),"
+    " d AS (SELECT cluster_id, id, g, 1 - len(list_intersect(g, f)) / (len(g) + len(f) - len(list_intersect(g, f))) AS d0 FROM m JOIN f USING (cluster_id)),"
+    " s AS (SELECT cluster_id, arg_max(g, (d0, -id)) AS s, max(d0) AS d FROM d GROUP BY 1 HAVING max(d0) > 0.5)"
+    " SELECT cluster_id, id, CAST(1 - len(list_intersect(g, s)) / (len(g) + len(s) - len(list_intersect(g, s))) < d0 AS INT) AS side FROM d JOIN s USING (cluster_id)"
+)
+def cluster_split(spark, d):
+    n = _log(spark, d).where("cluster_id is not null and error_fingerprint is not null").select("cluster_id", "id", L.fingerprint_text(F.col("error_fingerprint")).alias("s"))
+    return cluster.split(n.select("cluster_id", "id", L.trigrams(F.col("s")).alias("g")))
+
+
+@query("SELECT cluster_id, occurrence_count, is_active FROM error_cluster")
+def cluster_export(spark, d):
+    """One JSON object per cluster, read back."""
+    j = trends.export_json(table(spark, d, "error_cluster"))
+    return j.select(F.from_json("json", "cluster_id bigint, occurrence_count int, is_active boolean").alias("x")).select("x.*")
+
+
+@query("SELECT request_no, CASE WHEN platform_hint IS NULL THEN 'none' WHEN lower(platform_hint) IN ('github actions','gitlab ci','jenkins','docker','npm','maven','pytest','go','cargo','unknown') THEN lower(platform_hint) ELSE 'other' END AS platform, length(log_text) BETWEEN 10 AND 100000 AND trim(log_text) <> '' AS valid FROM (SELECT DISTINCT request_no, platform_hint, log_text FROM analyze_request)")
+def requests_checked(spark, d):
+    """Names of platforms made one, texts of 10 to 100 000 letters that are not blank."""
+    r = table(spark, d, "analyze_request").dropDuplicates(["request_no"])
+    known = ["github actions", "gitlab ci", "jenkins", "docker", "npm", "maven", "pytest", "go", "cargo", "unknown"]
+    low = F.lower("platform_hint")
+    p = F.when(low.isNull(), "none").when(low.isin(known), low).otherwise("other")
+    return r.select("request_no", p.alias("platform"), (F.length("log_text").between(10, 100_000) & (F.trim("log_text") != "")).alias("valid"))
+
+
 # -- ledgers and series -----------------------------------------------------------------------------------------------
 
 
