@@ -20,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from timberline.llm.words import hash32, word_list
+from timberline.operators.lsh import MinHash, tiles
 from timberline.session import cut
 
 ROWS, BANDS, TILE = 9, 36, 1024
@@ -32,24 +32,7 @@ SLACK = 0.14
 #: So many candidate ids at most are broadcast to pick texts; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
-_rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64) | 1).astype(np.uint32)
-_B = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
-
-
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS*ROWS) minima; all sets hold a word."""
-    flat = np.concatenate(sets)
-    at = np.zeros(len(sets), np.int64)
-    np.cumsum([len(s) for s in sets[:-1]], out=at[1:])
-    sig = np.empty((ROWS * BANDS, len(sets)), np.uint32)
-    for k in range(ROWS * BANDS):
-        y = flat * _A[k] + _B[k]
-        y ^= y >> np.uint32(15)
-        y *= np.uint32(0x2C1B3C6D)
-        y ^= y >> np.uint32(13)
-        sig[k] = np.minimum.reduceat(y, at)
-    return np.ascontiguousarray(sig.T)
+_HASH = MinHash(BANDS, ROWS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +47,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ids:
             continue
         keys = [xxhash.xxh3_64_intdigest(s.tobytes(), seed=t) - 2**63 for t, s in zip(tab, sets)]
-        sig = signatures(sets)
+        sig = _HASH.signatures(sets)
         bands = np.empty((len(ids), BANDS), np.int64)
         raw = sig.reshape(len(ids), BANDS, ROWS)
         for i in range(len(ids)):
@@ -92,21 +75,12 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32)))], names=["key", "words"])
 
 
-def tiles(df: DataFrame, key: str, item: str) -> tuple[DataFrame, DataFrame]:
-    """Two sides of a join on (key, tile) that meets each two items of a key once. Keys of one item are dropped; the
-    items of a key of n lie in ceil(n / TILE) tiles, one side copied to each."""
-    n = df.withColumn("n", F.count("*").over(Window.partitionBy(key))).where("n > 1").withColumn("t", F.ceil(F.col("n") / TILE).cast("int"))
-    left = n.select(key, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("t")).cast("int").alias("tile"))
-    right = n.select(key, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("tile"))
-    return left, right
-
-
 def similar_sets(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(members: tab, id, set; links: a, b, similarity between sets). texts: (tab int, id bigint, text string)."""
     signed = cut(texts.select("tab", "id", "text").mapInArrow(_sign, "tab int, id bigint, set bigint, bands array<bigint>, sketch array<bigint>"), "signed")
     members = signed.select("tab", "id", "set").dropDuplicates()
     reps = signed.groupBy("set").agg(F.min(F.struct("tab", "id", "bands", "sketch")).alias("r"))
-    left, right = tiles(reps.select("set", F.explode("r.bands").alias("key")).repartition("key"), "key", "set")
+    left, right = tiles(reps.select("set", F.explode("r.bands").alias("key")).repartition("key"), "key", "set", TILE)
     pairs = left.join(right, ["key", "tile"]).where("a < b").select("a", "b").distinct()
     sk = signed.select("set", "sketch").dropDuplicates(["set"])
     near = pairs.join(sk.select(F.col("set").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("set").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -133,7 +107,7 @@ def id_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     y = m.select(F.col("tab").alias("tb"), F.col("set").alias("b"), F.col("id").alias("ib"))
     linked = links.join(x, "a").join(y, "b")
     # equal texts: every two members, the larger classes in tiles
-    left, right = tiles(m.select("tab", "set", "id").withColumn("key", F.struct("tab", "set")).select("key", "id"), "key", "id")
+    left, right = tiles(m.select("tab", "set", "id").withColumn("key", F.struct("tab", "set")).select("key", "id"), "key", "id", TILE)
     equal = left.join(right, ["key", "tile"]).where("a < b").select(F.col("key.tab").alias("tab"), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     return linked.select("tab", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).unionAll(equal)
 
