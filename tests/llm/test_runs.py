@@ -84,4 +84,4 @@ def test_one_long_run_over_many_blocks(spark, monkeypatch):
 def test_empty(spark):
     t = templates(["2024-11-01 10:00:00,123 | INFO | app.core | a b c"])
     assert runs.runs(spark.createDataFrame([], SCHEMA), t).collect() == []
-    assert runs.runs(spark.createDataFrame([(1, 1, None), (1, 2, "")], SCHEMA), t).collect() == []
+    assert runs.runs(spark.createDataFrame([(1, 1, None), (1, 2, ""), (None, 1, "2024-11-01 10:00:00,123 | INFO | app.core | a b c"), (1, None, "2024-11-01 10:00:00,123 | INFO | app.core | a b c")], SCHEMA), t).collect() == []

@@ -77,6 +77,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_sets(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(members: tab, id, set; links: a, b, similarity between sets). texts: (tab int, id bigint, text string)."""
+    texts = texts.where("tab is not null and id is not null")
     signed = cut(texts.select("tab", "id", "text").mapInArrow(_sign, "tab int, id bigint, set bigint, bands array<bigint>, sketch array<bigint>"), "signed")
     members = signed.select("tab", "id", "set").dropDuplicates()
     reps = signed.groupBy("set").agg(F.min(F.struct("tab", "id", "bands", "sketch")).alias("r"))

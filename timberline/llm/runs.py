@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.templates import Templates
-from timberline.operators.entries import _block, file_ends
+from timberline.operators.entries import KEYED, _block, file_ends
 from timberline.session import cut
 
 LEAST = 3
@@ -104,7 +104,7 @@ def line_events(lines: DataFrame, templates: Templates) -> DataFrame:
                 t = b.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(ev, pa.string())], names=["file_id", "line_number", "event"])
 
-    return lines.select("file_id", "line_number", "message_preview").mapInArrow(run, "file_id bigint, line_number int, event string").withColumn("block", _block())
+    return lines.where(KEYED).select("file_id", "line_number", "message_preview").mapInArrow(run, "file_id bigint, line_number int, event string").withColumn("block", _block())
 
 
 def _block_runs(f: int, k: int, nos: list[int], keys: list[str]) -> list[tuple]:
