@@ -80,7 +80,7 @@ def test_text_entries_edges(spark):
     t = entries.mine_templates(mine)
     a = "2024-11-01 10:00:00,123 | INFO | app.core | one two three\r\n  more\r\n\r\n[WARN] net-io: two two two\n"
     long = "x" * 300_000 + "\n" + a
-    df = spark.createDataFrame([("a", a), ("a", a), ("n", None), ("e", ""), ("b", "\n\n"), ("l", long), ("c", "no entry")], "key string, text string")
+    df = spark.createDataFrame([("a", a), ("a", a), ("n", None), ("e", ""), ("b", "\n\n"), ("l", long), ("c", "no entry"), (None, a)], "key string, text string")
     got = sorted(map(tuple, entries.text_entries(df, t).collect()))
     assert got == [("a", 1, 3, "INFO", "app.core"), ("a", 4, 1, "WARN", "net-io"), ("l", 2, 3, "INFO", "app.core"), ("l", 5, 1, "WARN", "net-io")]
     none = spark.createDataFrame([], "key string, text string")
@@ -94,6 +94,7 @@ def test_line_entries_across_blocks(spark, monkeypatch):
     text = ["2024-11-01 10:00:00,123 | INFO | app.core | one two three", *["  more"] * 9, "[WARN] net-io: two two two", "[ERROR] net-io: a b c", "  tail"]
     rows = [(7, i, None, "UNKNOWN", x.strip()) for i, x in enumerate(text, 1)] + [(8, 1, 0, None, "[INFO] app.core: x y z")]
     rows += rows[:3]  # repeated deliveries
+    rows += [(None, 1, 0, "INFO", text[0]), (7, None, 0, "INFO", text[0])]  # no key
     df = spark.createDataFrame(rows, "file_id bigint, line_number int, timestamp_us bigint, level string, message_preview string").withColumn("block", F.lit("clash")).withColumn("first", F.lit(0))
     t = templates([x[1] for x in sample(40)])
     got = sorted(tuple(r) for r in entries.line_entries(df, t).select("file_id", "line_number", "n_lines", "level").collect())

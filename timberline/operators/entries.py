@@ -2,7 +2,7 @@
 
 Two input forms are served. *Texts* hold all lines of a record in one string. *Line tables* hold one line per row, keyed
 by (file_id, line_number); a file may hold any share of the rows, so its rows are spread over blocks of BLOCK lines and
-no task ever holds a whole file."""
+no task ever holds a whole file. Rows without a key take no part."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from timberline.functions.templates import Miner, Templates
 from timberline.session import cut
 
 BLOCK = 32_768
-#: A stamp without a year may lie this far behind the moment the record was seen.
+KEYED = "file_id is not null and line_number is not null"
 MINED = "kind string, what string, n bigint"
 
 
@@ -84,7 +84,7 @@ def text_entries(texts: DataFrame, templates: Templates) -> DataFrame:
                 n.extend(e - s for s, e in zip(no[start:], ends))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(no, pa.int32()), pa.array(n, pa.int32()), pa.array(lvl, pa.string()), pa.array(comp, pa.string())], names=["key", "line_no", "n_lines", "level", "component"])
 
-    return texts.select("key", "text").mapInArrow(run, "key string, line_no int, n_lines int, level string, component string").dropDuplicates(["key", "line_no"])
+    return texts.where("key is not null").select("key", "text").mapInArrow(run, "key string, line_no int, n_lines int, level string, component string").dropDuplicates(["key", "line_no"])
 
 
 def text_instants(texts: DataFrame, templates: Templates, **weights: float) -> DataFrame:
@@ -112,7 +112,7 @@ def text_instants(texts: DataFrame, templates: Templates, **weights: float) -> D
                     us.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(no, pa.int32()), pa.array(us, pa.int64())], names=["key", "line_no", "utc_us"])
 
-    return texts.select("key", "text", "time_zone", "seen_us").mapInArrow(run, "key string, line_no int, utc_us bigint").dropDuplicates(["key", "line_no"])
+    return texts.where("key is not null").select("key", "text", "time_zone", "seen_us").mapInArrow(run, "key string, line_no int, utc_us bigint").dropDuplicates(["key", "line_no"])
 
 
 # -- line tables ------------------------------------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def line_heads(lines: DataFrame, templates: Templates) -> DataFrame:
                 t = b.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(4)), pa.array(fmt, pa.string()), pa.array(stamp, pa.string()), pa.array(lvl, pa.string()), pa.array(comp, pa.string())], names=["file_id", "line_number", "old_us", "old_level", "fmt", "stamp", "level", "component"])
 
-    out = lines.select("file_id", "line_number", "timestamp_us", "level", "message_preview").mapInArrow(
+    out = lines.where(KEYED).select("file_id", "line_number", "timestamp_us", "level", "message_preview").mapInArrow(
         run, "file_id bigint, line_number int, old_us bigint, old_level string, fmt string, stamp string, level string, component string"
     )
     return out.withColumn("block", _block())
@@ -149,7 +149,7 @@ def line_heads(lines: DataFrame, templates: Templates) -> DataFrame:
 
 def file_ends(lines: DataFrame) -> DataFrame:
     """file_id, last_line; reads two columns."""
-    return lines.groupBy("file_id").agg(F.max("line_number").alias("last_line"))
+    return lines.where(KEYED).groupBy("file_id").agg(F.max("line_number").alias("last_line"))
 
 
 def line_entries(lines: DataFrame, templates: Templates) -> DataFrame:
@@ -179,7 +179,8 @@ def line_instants(lines: DataFrame, files: DataFrame, zones: DataFrame, template
     at a block's edge is that of the undivided file."""
     heads = line_heads(lines, templates).where(F.col("fmt").isNotNull()).select("file_id", "block", "line_number", "old_us", "fmt", "stamp")
     spread = (
-        lines.groupBy("file_id")
+        lines.where(KEYED)
+        .groupBy("file_id")
         .agg(F.max("line_number").alias("last_line"), F.max("source_file").alias("source_file"))
         .join(files, "file_id", "left")
         .join(zones, "source_file", "left")

@@ -33,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none (tests, local mode) is one made on this machine."""
+    """The folder all executors share, as the cluster names it. In local mode, where driver and executors are one process,
+    an unset folder is made on this machine; on a cluster that is an error."""
     have = spark.conf.get(CHECKPOINT_CONF, None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set(CHECKPOINT_CONF, have)
     return have.rstrip("/")
