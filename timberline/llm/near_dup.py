@@ -48,11 +48,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         keys = [xxhash.xxh3_64_intdigest(s.tobytes(), seed=t) - 2**63 for t, s in zip(tab, sets)]
         sig = _HASH.signatures(sets)
-        bands = np.empty((len(ids), BANDS), np.int64)
-        raw = sig.reshape(len(ids), BANDS, ROWS)
-        for i in range(len(ids)):
-            for k in range(BANDS):
-                bands[i, k] = xxhash.xxh3_64_intdigest(raw[i, k].tobytes(), seed=tab[i] * 1000 + k) - 2**63
+        bands = np.array(tab, np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        raw = sig.reshape(len(ids), BANDS, ROWS).astype(np.uint64)
+        for r in range(ROWS):
+            bands = (bands ^ raw[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+            bands ^= bands >> np.uint64(29)
+        bands = bands.view(np.int64)
         low = (sig[:, : SKETCH * 64] & 1).astype(np.uint64).reshape(len(ids), SKETCH, 64)
         sketch = (low * bit).sum(axis=2, dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
