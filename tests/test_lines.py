@@ -129,3 +129,11 @@ def test_records_redacted(spark):
     r = {x["id"]: x for x in X.redacted_records(df).collect()}
     assert r["1"]["content"] == "[EMAIL]\nok" and r["1"]["error_lines"][0] == "x [IP]" and r["1"]["metadata"]["k"] == "[EMAIL]"
     assert r["2"]["content"] is None and r["2"]["error_lines"] is None
+
+
+def test_results(spark):
+    good = '{"root_causes":[{"probability":60},{"probability":40}],"fix_suggestions":[{"command":" make "},{"command":null}],"debug_commands":["ls"," "]}'
+    bad = '{"root_causes":[{"probability":60}],"fix_suggestions":[]}'
+    df = spark.createDataFrame([(1, good), (2, bad), (3, None)], "k int, j string").select("k", X.parsed_json(F.col("j"), X.RESULT).alias("r"))
+    got = {x["k"]: (x["c"], x["v"]) for x in df.select("k", X.commands(F.col("r")).alias("c"), X.valid_result(F.col("r")).alias("v")).collect()}
+    assert got == {1: (["make", "ls"], True), 2: ([], False), 3: ([], False)}

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,23 @@ def test_chain_quarantine_and_failing_rows(spark):
     assert P.chain(df, lambda d: d.where("k = 1"), lambda d: d.select("v")).collect()[0][0] == "a"
     out = P.each_row(df, lambda r: {**r, "v": r["v"].upper()}).orderBy("k").collect()
     assert [r["v"] for r in out] == ["A", None]
+
+
+def test_limits_keep_state_between_batches(spark, tmp_path):
+    from timberline.operators.series import Bucket, Sliding
+    from timberline.streaming import limits
+
+    rows = [("a", i, float(i)) for i in range(12)] + [("b", 100 + i, float(3 * i)) for i in range(6)]
+    src = str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame([r for r in rows if int(r[2]) // 5 == k], "k string, id bigint, t double").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in order of their times
+    for fn, rule in ((limits.sliding, Sliding), (limits.bucket, Bucket)):
+        s = spark.readStream.schema("k string, id bigint, t double").option("maxFilesPerTrigger", 1).parquet(src)
+        got = {r["id"]: r["admitted"] for r in P.drain(fn(s, "k", 2, 5.0, expire=False)).collect()}
+        want = {}
+        for key in ("a", "b"):
+            state = rule(2, 5.0)
+            for _, i, t in sorted((r for r in rows if r[0] == key), key=lambda r: r[2]):
+                want[i] = state.admit(t)
+        assert got == want

@@ -94,3 +94,40 @@ def repaired_probabilities(p: Column) -> Column:
     scaled = F.transform(p, lambda x: F.bround(x * 100 / total, 0).cast("int"))
     rest = 100 - F.aggregate(scaled, F.lit(0), lambda a, x: a + x)
     return F.when((F.size(p) > 0) & (total > 0), F.transform(scaled, lambda x, i: F.when(i == 0, x + rest).otherwise(x))).otherwise(F.transform(p, lambda x: x.cast("int")))
+
+
+RESULT = (
+    "error_summary string, severity string, root_causes array<struct<description:string,probability:double>>, "
+    "fix_suggestions array<struct<title:string,description:string,command:string>>, debug_commands array<string>, prevention array<string>"
+)
+
+
+def commands(r: Column) -> Column:
+    """Commands of a parsed result, of fixes first, then of debugging; trimmed, blank ones left out, order kept."""
+    none = F.array().cast("array<string>")
+    fixes = F.coalesce(F.transform(r["fix_suggestions"], lambda x: F.trim(F.coalesce(x["command"], F.lit("")))), none)
+    debug = F.coalesce(F.transform(r["debug_commands"], lambda x: F.trim(F.coalesce(x, F.lit("")))), none)
+    return F.filter(F.concat(fixes, debug), lambda x: x != "")
+
+
+def valid_result(r: Column) -> Column:
+    """Probabilities of one to five causes sum to 100, one to four fixes, at most five commands and three measures."""
+    total = F.aggregate(F.transform(r["root_causes"], lambda x: F.coalesce(x["probability"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    ok = (F.abs(total - 100) < 1e-6) & F.size(r["root_causes"]).between(1, 5) & F.size(r["fix_suggestions"]).between(1, 4)
+    return F.coalesce(ok & (F.size(F.coalesce(r["debug_commands"], F.array())) <= 5) & (F.size(F.coalesce(r["prevention"], F.array())) <= 3), F.lit(False))
+
+
+def severity_hint(errors: Column, fatals: Column) -> Column:
+    """P29."""
+    return F.when(fatals > 0, "critical").when(errors >= 5, "high").when(errors >= 1, "medium").otherwise("low")
+
+
+def size_class(chars: Column) -> Column:
+    """Letters in kilobytes by the bounds 10, 50, 200, 500, 1000."""
+    kb = chars / 1024
+    return F.when(kb < 10, "tiny").when(kb < 50, "small").when(kb < 200, "medium").when(kb < 500, "large").when(kb < 1000, "huge").otherwise("extreme")
+
+
+def token_estimate(c: Column) -> Column:
+    """A quarter of the letters, one at least."""
+    return F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("bigint")

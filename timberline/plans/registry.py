@@ -480,6 +480,20 @@ def cluster_export(spark, d):
     return j.select(F.from_json("json", "cluster_id bigint, occurrence_count int, is_active boolean").alias("x")).select("x.*")
 
 
+@query(f"{LINES}, t AS (SELECT doc_id, count(*) FILTER (lower(line) LIKE '%error%') AS e, count(*) FILTER (lower(line) LIKE '%fatal%') AS f FROM log_lines GROUP BY doc_id) SELECT doc_id, CASE WHEN f > 0 THEN 'critical' WHEN e >= 5 THEN 'high' WHEN e >= 1 THEN 'medium' ELSE 'low' END AS severity FROM t")
+def severity_hints(spark, d):
+    """P29."""
+    t = A.totals(log_lines(spark, d))
+    return t.select("doc_id", X.severity_hint(F.col("error_count"), F.col("fatal_count")).alias("severity"))
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4) AS tokens, CASE WHEN length(text) / 1024 < 10 THEN 'tiny' WHEN length(text) / 1024 < 50 THEN 'small' ELSE 'medium' END AS size_class FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL")
+def size_classes(spark, d):
+    """P30, X21."""
+    t = table(spark, d, "documents").dropDuplicates(["doc_id"]).where("text is not null")
+    return t.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), X.size_class(F.length("text")).alias("size_class"))
+
+
 @query("SELECT request_no, CASE WHEN platform_hint IS NULL THEN 'none' WHEN lower(platform_hint) IN ('github actions','gitlab ci','jenkins','docker','npm','maven','pytest','go','cargo','unknown') THEN lower(platform_hint) ELSE 'other' END AS platform, length(log_text) BETWEEN 10 AND 100000 AND trim(log_text) <> '' AS valid FROM (SELECT DISTINCT request_no, platform_hint, log_text FROM analyze_request)")
 def requests_checked(spark, d):
     """Names of platforms made one, texts of 10 to 100 000 letters that are not blank."""
