@@ -30,7 +30,7 @@ def sliding(events: DataFrame, by: str, most: int, window: float, expire: bool =
         if state.exists:
             rule.seen = deque(state.get[0])
         p = pd.concat(list(parts)).sort_values(["t", "id"])
-        p["admitted"] = [rule.admit(t) for t in p["t"]]
+        p["admitted"] = [rule.admit(t) for t in p["t"].tolist()]
         state.update((list(rule.seen),))
         if expire:
             state.setTimeoutDuration(max(1, int(window * 1000)))
@@ -51,7 +51,7 @@ def bucket(events: DataFrame, by: str, most: int, window: float, expire: bool =
         if state.exists:
             rule.tokens, rule.at = state.get
         p = pd.concat(list(parts)).sort_values(["t", "id"])
-        p["admitted"] = [rule.admit(t) for t in p["t"]]
+        p["admitted"] = [rule.admit(t) for t in p["t"].tolist()]
         state.update((rule.tokens, rule.at))
         if expire:
             state.setTimeoutDuration(max(1, int(window * 1000)))
