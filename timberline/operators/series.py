@@ -102,7 +102,7 @@ class Bucket:
     """A bucket of `most` tokens that fills at most / window tokens a second; a call takes one."""
 
     def __init__(self, most: int, window: float):
-        self.most, self.rate, self.tokens, self.at = most, most / window, float(most), None
+        self.most, self.rate, self.tokens, self.at = float(most), most / window, float(most), None
 
     def admit(self, t: float) -> bool:
         if self.at is not None:

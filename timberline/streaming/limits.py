@@ -49,12 +49,12 @@ def bucket(events: DataFrame, by: str, most: int, window: float, expire: bool =
             return
         rule = Bucket(most, window)
         if state.exists:
-            rule.tokens, rule.at = state.get
+            rule.tokens, rule.at = state.get[0]
         p = pd.concat(list(parts)).sort_values(["t", "id"])
         p["admitted"] = [rule.admit(t) for t in p["t"].tolist()]
-        state.update((rule.tokens, rule.at))
+        state.update(([rule.tokens, rule.at],))
         if expire:
             state.setTimeoutDuration(max(1, int(window * 1000)))
         yield p[[by, "id", "t", "admitted"]]
 
-    return events.groupBy(by).applyInPandasWithState(run, f"`{by}` {kind}, id bigint, t double, admitted boolean", "tokens double, at double", "append", _timeout(expire))
+    return events.groupBy(by).applyInPandasWithState(run, f"`{by}` {kind}, id bigint, t double, admitted boolean", "bucket array<double>", "append", _timeout(expire))
