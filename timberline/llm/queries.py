@@ -134,5 +134,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
 
+_CLEAN = "text"
+for _p in (
+    r"\{[^{}\n]*\}",
+    r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
+    r"\b(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? +)?(?:\d{1,2}[ /])?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[ /]{1,2}(?:\d{1,2} \d\d:|\d{4}[ :])",
+):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', ' ', 'g')"
+
+
+def _shared_words(texts: str) -> str:
+    """Common table expressions: f the distinct words of each row, n their number, p the pairs that share words."""
+    return (
+        f"WITH t AS ({texts}), w AS (SELECT DISTINCT tab, id, unnest(regexp_extract_all(lower({_CLEAN}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM t),"
+        " f AS (SELECT * FROM w WHERE length(w) > 2 AND regexp_full_match(w, '\\p{L}+')), n AS (SELECT tab, id, count(*) AS n FROM f GROUP BY ALL),"
+        " p AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS c FROM f a JOIN f b ON a.tab = b.tab AND a.w = b.w AND a.id < b.id GROUP BY ALL),"
+        " s AS (SELECT p.*, c / (x.n + y.n - c) AS similarity FROM p JOIN n x ON p.tab = x.tab AND id_a = x.id JOIN n y ON p.tab = y.tab AND id_b = y.id) "
+    )
+
+
+_FAILED = "SELECT DISTINCT 'analysis_log' AS tab, id, error_fingerprint AS text FROM analysis_log WHERE error_fingerprint IS NOT NULL"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """p3: all pairs over shared words. p6: any two rows of one failure are similar, so the next row of a cluster is the
+    least later id that is."""
+    asked = "SELECT DISTINCT 'analyze_request' AS tab, request_no AS id, log_text AS text FROM analyze_request WHERE log_text IS NOT NULL"
+    return {
+        "p3_found": _shared_words(f"{asked} UNION ALL {_FAILED}") + "SELECT tab AS record_table, id_a, id_b FROM s WHERE similarity >= 0.7 - 1e-9",
+        "p6_found": _shared_words(_FAILED) + "SELECT id_a, min(id_b) AS id_b FROM s WHERE similarity >= 0.317 GROUP BY id_a",
+    }
