@@ -162,7 +162,7 @@ def timestamp_coverage(spark, d):
     return A.coverage(log_lines(spark, d))
 
 
-@query("SELECT request_no AS doc_id, count(*) AS n, sum(len(line)) AS chars FROM (SELECT request_no, unnest(CASE WHEN log_text = '' THEN [] WHEN log_text LIKE '%' || chr(10) THEN string_split(log_text[:-2], chr(10)) ELSE string_split(log_text, chr(10)) END) AS line FROM (SELECT DISTINCT request_no, replace(log_text, chr(13) || chr(10), chr(10)) AS log_text FROM analyze_request)) GROUP BY request_no")
+@query("SELECT request_no AS doc_id, count(*) AS n, CAST(sum(len(line)) AS BIGINT) AS chars FROM (SELECT request_no, unnest(CASE WHEN log_text = '' THEN [] WHEN log_text LIKE '%' || chr(10) THEN string_split(log_text[:-2], chr(10)) ELSE string_split(log_text, chr(10)) END) AS line FROM (SELECT DISTINCT request_no, replace(log_text, chr(13) || chr(10), chr(10)) AS log_text FROM analyze_request)) GROUP BY request_no")
 def split_texts(spark, d):
     docs = table(spark, d, "analyze_request").dropDuplicates(["request_no"])
     return from_text(docs, "request_no", "log_text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
@@ -390,9 +390,9 @@ def cluster_insight(spark, d):
     return i.select("cluster_id", "total", "last_7_days", "last_30_days", "avg_resolve_minutes", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
 
 
-@query(f"SELECT c.day, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series(DATE '2025-04-01' - INTERVAL 29 DAYS, DATE '2025-04-01', INTERVAL 1 DAY)) AS DATE) AS day) c LEFT JOIN (SELECT CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n FROM {LOG} GROUP BY 1) g USING (day)")
+@query(f"SELECT CAST(c.day AS VARCHAR) AS day, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series(DATE '2025-04-01' - INTERVAL 29 DAYS, DATE '2025-04-01', INTERVAL 1 DAY)) AS DATE) AS day) c LEFT JOIN (SELECT CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n FROM {LOG} GROUP BY 1) g USING (day)")
 def daily_trend(spark, d):
-    return trends.daily(_log(spark, d), AS_OF)
+    return trends.daily(_log(spark, d), AS_OF).select(F.col("day").cast("string").alias("day"), "n")
 
 
 @query("SELECT k AS platform, CAST(sum(v) AS BIGINT) AS n FROM (SELECT unnest(map_keys(platform_distribution)) AS k, unnest(map_values(platform_distribution)) AS v FROM error_cluster) GROUP BY 1")
@@ -511,9 +511,9 @@ def _meta(spark, d):
     return table(spark, d, "analyze_response_meta").dropDuplicates(["request_no"])
 
 
-@query(f"SELECT CAST(served_at AT TIME ZONE 'UTC' AS DATE) AS day, model_used, count(*) AS calls, round(sum(CAST(cost_usd AS DECIMAL(18,6))), 6) AS cost FROM {META} GROUP BY 1, 2")
+@query(f"SELECT CAST(CAST(served_at AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS day, model_used, count(*) AS calls, round(sum(CAST(cost_usd AS DECIMAL(18,6))), 6) AS cost FROM {META} GROUP BY 1, 2")
 def daily_cost(spark, d):
-    return _meta(spark, d).groupBy(F.to_date("served_at").alias("day"), "model_used").agg(F.count("*").alias("calls"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("decimal(38,6)").alias("cost"))
+    return _meta(spark, d).groupBy(F.to_date("served_at").cast("string").alias("day"), "model_used").agg(F.count("*").alias("calls"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("decimal(38,6)").alias("cost"))
 
 
 @query(f"SELECT request_no, sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) OVER (PARTITION BY CAST(served_at AT TIME ZONE 'UTC' AS DATE) ORDER BY served_at, request_no ROWS UNBOUNDED PRECEDING) AS running FROM {META}")
