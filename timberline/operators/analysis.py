@@ -234,13 +234,14 @@ def truncated(lines: DataFrame, longest: int = 6000, head: int = 50, tail: int =
 
 def filtered(index: DataFrame, least: str | None = None, keyword: str | None = None, between: tuple[int, int] | None = None) -> DataFrame:
     """F01 to F05 on a line index: least level, keyword in the preview (case ignored, taken literally), inclusive time range
-    that unstamped lines pass. All are predicates on stored columns and reach the scan."""
+    that unstamped lines pass. Level and time are plain comparisons of stored columns and are pushed into the scan, where
+    row groups without a match are skipped; the keyword is checked on what is left."""
     out = index
     if least:
-        out = out.where(L.level_rank(F.col("level")) >= P.LEVEL_RANK[least])
+        out = out.where(F.col("level").isin([k for k, r in P.LEVEL_RANK.items() if r >= P.LEVEL_RANK[least]]))
     if keyword:
         out = out.where(F.lower("message_preview").contains(keyword.lower()))
     if between:
-        us = F.nullif(F.col("timestamp_us"), F.lit(0))
-        out = out.where(us.isNull() | us.between(*between))
+        us = F.col("timestamp_us")
+        out = out.where(us.isNull() | (us == 0) | us.between(*between))
     return out
