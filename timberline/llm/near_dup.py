@@ -1,8 +1,8 @@
 """Near-duplicate texts by MinHash banding.
 
 1. Each text becomes its set of distinct words, and the set a MinHash signature of BANDS x ROWS values. Texts with equal
-   sets form one class; only one signature per class goes on.
-2. Classes are shuffled on band hashes. Buckets of one class are dropped; a bucket of n classes is split into tiles so
+   sets form one class; a task gives the bands of a class once, however many copies it reads.
+2. Classes are shuffled on band hashes, equal rows dropped. Buckets of one class are dropped; a bucket of n classes is split into tiles so
    that no task pairs more than TILE classes with the bucket. Each pair leaves a bucket once and pairs are made distinct.
 3. The signature's low bits estimate the similarity of a candidate; hopeless ones stop there. The rest is verified on the
    full word sets.
@@ -31,12 +31,14 @@ SKETCH = 5  # longs of one low bit per hash
 SLACK = 0.14
 #: So many candidate ids at most are broadcast to pick texts; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+SEEN = 2_000_000
 
 _HASH = MinHash(BANDS, ROWS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    seen: set[int] = set()  # classes whose bands this task has given; forgotten when many, as equal rows are dropped later
     for b in batches:
         tab, ids, sets = [], [], []
         for t, i, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -54,6 +56,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = (bands ^ raw[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
             bands ^= bands >> np.uint64(29)
         bands = bands.view(np.int64)
+        new = np.zeros(len(ids), bool)
+        for i, k in enumerate(keys):
+            if k not in seen:
+                seen.add(k)
+                new[i] = True
+        if len(seen) > SEEN:
+            seen.clear()
+        at = np.concatenate([[0], np.cumsum(new * BANDS)])
         low = (sig[:, : SKETCH * 64] & 1).astype(np.uint64).reshape(len(ids), SKETCH, 64)
         sketch = (low * bit).sum(axis=2, dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -61,7 +71,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(tab, pa.int32()),
                 pa.array(ids, pa.int64()),
                 pa.array(keys, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel())),
+                pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bands[new].ravel())),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * SKETCH + 1, SKETCH), pa.int32()), pa.array(sketch.ravel())),
             ],
             names=["tab", "id", "set", "bands", "sketch"],
@@ -81,8 +91,8 @@ def similar_sets(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
     texts = texts.where("tab is not null and id is not null")
     signed = cut(texts.select("tab", "id", "text").mapInArrow(_sign, "tab int, id bigint, set bigint, bands array<bigint>, sketch array<bigint>"), "signed")
     members = signed.select("tab", "id", "set").dropDuplicates()
-    reps = signed.groupBy("set").agg(F.min(F.struct("tab", "id", "bands", "sketch")).alias("r"))
-    left, right = tiles(reps.select("set", F.explode("r.bands").alias("key")).repartition("key"), "key", "set", TILE)
+    bands = signed.select("set", F.explode("bands").alias("key")).repartition("key").dropDuplicates(["key", "set"])
+    left, right = tiles(bands, "key", "set", TILE)
     pairs = left.join(right, ["key", "tile"]).where("a < b").select("a", "b").distinct()
     sk = signed.select("set", "sketch").dropDuplicates(["set"])
     near = pairs.join(sk.select(F.col("set").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("set").alias("b"), F.col("sketch").alias("sb")), "b")
