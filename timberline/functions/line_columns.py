@@ -93,7 +93,15 @@ def is_error_line(line: Column) -> Column:
 def duration_s(line: Column) -> Column:
     """Seconds of the first duration after a duration word; zero is null."""
     part = lambda g, k: F.coalesce(F.nullif(F.regexp_extract(line, P.DURATION, g), F.lit("")).try_cast("double"), F.lit(0.0)) * k
-    return F.nullif(part(1, 3600.0) + part(2, 60.0) + part(3, 1.0), F.lit(0.0))
+    return F.when(line.rlike(P.DURATION_SIGN), F.nullif(part(1, 3600.0) + part(2, 60.0) + part(3, 1.0), F.lit(0.0)))
+
+
+def all_matches(line: Column, pattern: str, *signs: str) -> Column:
+    """All matches of a pattern that needs one of the given letters; lines without them skip the regex."""
+    some = None
+    for x in signs:
+        some = line.contains(x) if some is None else some | line.contains(x)
+    return F.when(some, F.regexp_extract_all(line, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def anomaly_flags() -> dict[str, Column]:

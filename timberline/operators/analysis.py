@@ -125,7 +125,7 @@ def dependencies(lines: DataFrame) -> DataFrame:
 
 def file_paths(lines: DataFrame, most: int = 30) -> DataFrame:
     """Distinct paths of a document in order of name, `most` each (the feature's own limit)."""
-    p = lines.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(P.FILE_PATH), F.lit(0))).alias("path")).distinct()
+    p = lines.select("doc_id", F.explode(L.all_matches(_line(), P.FILE_PATH, "/", "\\", ".")).alias("path")).distinct()
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))).where(F.col("rank") <= most)
 
 
@@ -215,8 +215,8 @@ def hydrate(lines: DataFrame) -> DataFrame:
         "doc_id",
         "pos",
         L.first_match(F.col("low"), P.DEEP_CATEGORIES, None).alias("category"),
-        F.array_join(F.slice(F.regexp_extract_all("line", F.lit(P.VERSION_NUMBER), F.lit(0)), 1, 5), ",").alias("versions"),
-        F.array_join(F.regexp_extract_all("line", F.lit(P.FILE_PATH), F.lit(0)), ",").alias("paths"),
+        F.array_join(F.slice(L.all_matches(_line(), P.VERSION_NUMBER, "."), 1, 5), ",").alias("versions"),
+        F.array_join(L.all_matches(_line(), P.FILE_PATH, "/", "\\", "."), ",").alias("paths"),
         L.duration_s(_line()).alias("duration_s"),
         _line().rlike(P.STACK_LINE).alias("is_stacktrace"),
         F.substring(L.strip(_line()), 1, 80).alias("signature"),
