@@ -93,7 +93,7 @@ def is_error_line(line: Column) -> Column:
 def duration_s(line: Column) -> Column:
     """Seconds of the first duration after a duration word; zero is null."""
     part = lambda g, k: F.coalesce(F.nullif(F.regexp_extract(line, P.DURATION, g), F.lit("")).try_cast("double"), F.lit(0.0)) * k
-    return F.when(line.rlike(P.DURATION_SIGN), F.nullif(part(1, 3600.0) + part(2, 60.0) + part(3, 1.0), F.lit(0.0)))
+    return F.when(found(F.lower(line), P.DURATION_SIGN), F.nullif(part(1, 3600.0) + part(2, 60.0) + part(3, 1.0), F.lit(0.0)))
 
 
 def all_matches(line: Column, pattern: str, *signs: str) -> Column:

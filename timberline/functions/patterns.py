@@ -100,7 +100,7 @@ LINE_CATEGORIES = [
 ]
 FILE_PATH = r"(?:[/\\][\w\-\.]+)+[/\\]?[\w\-\.]+|[\w\-\.]+\.(?:py|js|ts|java|go|rb|rs|cpp|c|h|sh|yaml|yml|json|toml|xml)"
 VERSION_NUMBER = r"\d+\.\d+(?:\.\d+)?"
-DURATION_SIGN = "(?i)took|spent|duration|elapsed|completed|finished"
+DURATION_SIGN = "took|spent|duration|elapsed|completed|finished"
 DURATION = r"(?i)(?:took|spent|duration|elapsed|completed\sin|finished\sin)\s+(?:(\d+)\s*(?:h|hour|hours))?\s*(?:(\d+)\s*(?:m|min|minutes?))?\s*(?:(\d+(?:\.\d+)?)\s*(?:s|sec|seconds?))?"
 
 # Stamps of the line index, in order; the first that parses counts.

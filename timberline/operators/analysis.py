@@ -77,7 +77,7 @@ def statistics(lines: DataFrame) -> DataFrame:
 def top_error_patterns(lines: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent labels of all lines, ties by first sight (document, pos)."""
     label = L.first_match(_line(), P.ERROR_LABELS, None)
-    g = lines.withColumn("label", label).where("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    g = lines.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("label is not null")
     return g.orderBy(F.desc("n"), "first").limit(k).select("label", "n")
 
 
@@ -172,9 +172,9 @@ def durations(lines: DataFrame) -> DataFrame:
     """A14 by P08."""
     return (
         lines.select("doc_id", L.duration_s(_line()).alias("s"))
-        .where("s is not null")
         .groupBy("doc_id")
-        .agg(F.count("*").alias("n"), F.round(F.sum("s"), 3).alias("total_s"), F.round(F.avg("s"), 3).alias("avg_s"), F.max("s").alias("max_s"), F.min("s").alias("min_s"))
+        .agg(F.count("s").alias("n"), F.round(F.sum("s"), 3).alias("total_s"), F.round(F.avg("s"), 3).alias("avg_s"), F.max("s").alias("max_s"), F.min("s").alias("min_s"))
+        .where("n > 0")  # a filter on s before would evaluate its regexes once more
     )
 
 
