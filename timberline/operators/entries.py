@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.functions.stamps import RULE_GAP, readings, viterbi
+from timberline.functions.stamps import readings, viterbi
 from timberline.functions.templates import Miner, Templates
-from timberline.session import cut
+from timberline.session import cut, table
 
 BLOCK = 32_768
 KEYED = "file_id is not null and line_number is not null"
@@ -231,8 +231,6 @@ def line_instants(lines: DataFrame, files: DataFrame, zones: DataFrame, template
 
 
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from timberline.session import table
-
     return table(spark, sf_dir, "log_record"), table(spark, sf_dir, "line_index"), table(spark, sf_dir, "log_source")
 
 
@@ -246,8 +244,6 @@ def _us(c: str):
 
 def found_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p4_found: the instant of each stamped entry of log_record, and of each of line_index that differs from the stored one."""
-    from timberline.session import table
-
     records, lines, sources = _records(spark, sf_dir)
     t = project_templates(records, lines)
     zones = sources.select("source_file", "time_zone").dropDuplicates(["source_file"])
@@ -277,6 +273,3 @@ def found_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = line_entries(lines, t).where(stored != F.col("level"))
     b = b.select(F.lit("line_index").alias("record_table"), F.col("file_id").cast("string").alias("record_key"), F.col("line_number").alias("line_no"), *cols[3:])
     return a.unionAll(b)
-
-
-__all__ = ["RULE_GAP", "found_entries", "found_instants", "line_entries", "line_instants", "mine_templates", "text_entries", "text_instants"]

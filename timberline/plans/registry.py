@@ -12,7 +12,6 @@ from timberline.functions import patterns as P
 from timberline.operators import analysis as A
 from timberline.operators import cluster, entries, series, trends
 from timberline.operators import fingerprint as X
-from timberline.operators import index as I
 from timberline.operators import similarity as S
 from timberline.session import cut, shared_dir, table
 from timberline.sources import files
@@ -315,11 +314,7 @@ _SECRETS = [(p, r) for _, p, r in P.SECRET_RULES]
 
 @query(f"{LINES} SELECT doc_id, pos, CASE WHEN {has('line', P.SECRET_SIGN)} THEN {chain('line', _SECRETS)} ELSE line END AS line FROM log_lines")
 def secrets_redacted(spark, d):
-    return A_redact(log_lines(spark, d))
-
-
-def A_redact(lines: DataFrame) -> DataFrame:
-    return X.redacted_lines(lines)
+    return X.redacted_lines(log_lines(spark, d))
 
 
 def _audit_sql() -> str:
@@ -636,5 +631,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
-
-__all__ = ["I", "oracle_sql", "queries"]
