@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: The split pattern that belongs to these merges. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_CHARS = 4_000_000
-CACHE = 400_000  # pieces kept per Python worker
+BLOCK_CHARS = 2_500_000
+CACHE = 200_000  # pieces kept per Python worker
 
 
 def byte_letters() -> list[str]:
