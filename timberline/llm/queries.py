@@ -114,7 +114,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
 def p9_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
