@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from timberline.functions import line_columns as L
-from timberline.operators import cluster, trends
+from timberline.operators import cluster, lsh, trends
 
 
 def grams(s):
@@ -61,6 +61,27 @@ def test_split(spark):
     assert {r["id"]: r["side"] for r in cluster.split(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
 
 
+def test_split_by_any_two_members(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "tiles", lambda df, key, item: lsh.tiles(df, key, item, 2))
+    rows = [(1, 11, "abcdef"), (1, 12, "abcdgh"), (1, 13, "cdefij"), (1, 14, "abcdef"), *((2, 20 + k, s) for k, s in enumerate(["abcdef", "abcdeg", "abcdeh", "abcdef"]))]
+    r = random.Random(4)
+    rows += [(c, 100 * c + k, "".join(r.sample("abcdefghijklmn", 11))) for c in range(3, 23) for k in range(5)]
+    rows += [(30, 3000, "abcdef"), (30, 3001, "abcdgh"), (30, 3002, "cdefij")]  # too few
+    df = spark.createDataFrame(rows, "cluster_id int, id bigint, s string").select("cluster_id", "id", F.array_distinct(F.split("s", "")).alias("g"))
+    got = {(x["cluster_id"], x["id"]): x["side"] for x in cluster.split(df).collect()}
+    dist = lambda a, b: 1 - len(set(a) & set(b)) / len(set(a) | set(b))
+    want, late = {}, 0
+    for c in {x[0] for x in rows}:
+        m = [(i, s) for k, i, s in rows if k == c]
+        if len(m) < 4 or max(dist(a, b) for _, a in m for _, b in m) <= 0.5:
+            continue
+        far = max(m, key=lambda x: (dist(x[1], m[0][1]), -x[0]))
+        late += dist(far[1], m[0][1]) <= 0.5
+        want |= {(c, i): int(dist(s, far[1]) < dist(s, m[0][1])) for i, s in m}
+    assert got == want
+    assert late and 2 not in {c for c, _ in got}
+
+
 def test_weekly_report(spark):
     log = spark.createDataFrame([(i, i % 2, "2025-03-30 10:00:00") for i in range(6)], "id int, cluster_id int, t string").withColumn("created_at", F.to_timestamp("t"))
     c = spark.createDataFrame([({"npm": 3},)], "platform_distribution map<string,bigint>")

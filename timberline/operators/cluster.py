@@ -96,11 +96,29 @@ def assign(log: DataFrame, key: str, text: str, threshold: float = THRESHOLD) ->
 
 
 def split(members: DataFrame, least: int = 4, apart: float = 0.5) -> DataFrame:
-    """cluster_id, id, side 0 or 1 of clusters of `least` or more whose farthest member is more than `apart` from the
-    first: members go to the nearer of the two, ties to the first. members: (cluster_id, id, g). One distance per member
-    and seed; no pair of members is formed."""
+    """cluster_id, id, side 0 or 1 of clusters of `least` or more of which any two members are more than `apart`
+    from each other: members go to the nearer of the first and the one farthest from it, ties to the first. members:
+    (cluster_id, id, g)."""
     first = members.groupBy("cluster_id").agg(F.min(F.struct("id", "g")).alias("f"), F.count("*").alias("n")).where(F.col("n") >= least)
-    far = members.join(first, "cluster_id").withColumn("d0", 1 - L.jaccard(F.col("g"), F.col("f.g")))
-    seed = far.groupBy("cluster_id").agg(F.max(F.struct("d0", (-F.col("id")).alias("neg"), "g")).alias("s")).where(F.col("s.d0") > apart)
-    both = far.join(seed, "cluster_id")
-    return both.select("cluster_id", "id", (1 - L.jaccard(F.col("g"), F.col("s.g")) < F.col("d0")).cast("int").alias("side"))
+    far = cut(members.join(first, "cluster_id").select("cluster_id", "id", "g", (1 - L.jaccard(F.col("g"), F.col("f.g"))).alias("d0")), "far")
+    seed = far.groupBy("cluster_id").agg(F.max(F.struct("d0", (-F.col("id")).alias("neg"), "g")).alias("s"))
+    both = cut(far.join(seed, "cluster_id").select("cluster_id", "id", "g", "d0", (1 - L.jaccard(F.col("g"), F.col("s.g"))).alias("d1")), "seeds")
+    wide = cut(_wide(both, apart), "wide")
+    return both.join(wide, "cluster_id", "left_semi").select("cluster_id", "id", (F.col("d1") < F.col("d0")).cast("int").alias("side"))
+
+
+def _wide(both: DataFrame, apart: float) -> DataFrame:
+    """cluster_id of the clusters with two members more than `apart` from each other. both: (cluster_id, id, g, d0, d1), d0
+    and d1 the distances from the two seeds.
+
+    Most show it by a seed. Of the rest, distinct texts meet in tiles; as the distance keeps to the triangle inequality,
+    two whose distances from a seed add up to no more than `apart` cannot be farther from each other and are not compared."""
+    reach = both.groupBy("cluster_id").agg(F.max(F.greatest("d0", "d1")).alias("most"), F.max("d0").alias("d0"), F.max("d1").alias("d1"))
+    near = apart - 1e-9
+    unsure = reach.where((F.col("most") <= apart) & (2 * F.least("d0", "d1") > near)).select("cluster_id")
+    texts = both.join(unsure, "cluster_id", "left_semi").groupBy("cluster_id", F.array_sort("g").alias("g")).agg(F.min("id").alias("id"), F.first("d0").alias("d0"), F.first("d1").alias("d1"))
+    left, right = tiles(texts.select("cluster_id", F.struct("id", "d0", "d1", "g").alias("text")), "cluster_id", "text")
+    pairs = left.join(right, ["cluster_id", "tile"]).where("a.id < b.id")
+    pairs = pairs.where((F.col("a.d0") + F.col("b.d0") > near) & (F.col("a.d1") + F.col("b.d1") > near))
+    found = pairs.where(1 - L.jaccard(F.col("a.g"), F.col("b.g")) > apart).select("cluster_id").distinct()
+    return reach.where(F.col("most") > apart).select("cluster_id").union(found)
