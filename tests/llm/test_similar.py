@@ -58,6 +58,18 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     assert (0, 9001) not in g and (0, 9003) not in g
 
 
+def test_pairs_at_the_threshold(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(300):
+        both, a, b = ([name(r, 5) for _ in range(n)] for n in (14, 3, 3))  # 14 of 20
+        rows += [(0, 2 * k, " ".join(both + a)), (0, 2 * k + 1, " ".join(both + b))]
+    m, links = near_dup.similar_sets(spark.createDataFrame(rows, "tab int, id bigint, text string"))
+    got = {(x["id_a"], x["id_b"]) for x in near_dup.id_pairs(m, links).collect()}
+    want = {(i, i + 1) for _, i, x in rows if i % 2 == 0 and jac(x, rows[i + 1][2]) >= 0.7 - 1e-9}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_no_ids_broadcast_path(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
     df = spark.createDataFrame([(0, 1, "one two three four five six seven eight nine ten"), (0, 2, "one two three four five six seven eight nine other")], "tab int, id bigint, text string")
