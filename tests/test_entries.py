@@ -118,3 +118,17 @@ def test_project_queries_run(spark, small):
     b = entries.found_entries(spark, small)
     assert b.columns == ["record_table", "record_key", "line_no", "n_lines", "level", "component"]
     assert b.dropDuplicates(["record_table", "record_key", "line_no"]).count() == b.count()
+
+
+def test_rare_layouts_and_keys():
+    r = random.Random(5)
+    many = [f"Nov  3 10:00:01 host-01 app[{i}]: {body(r)}" for i in range(2000)]
+    words = [f"Nov  3 10:00:01 host-01 app[{i}]: critical {body(r)}" for i in range(40)]  # text, not a level
+    t = templates(many + words + ["Nov  3 10:00:01 host-01 net-io[7]: INFO: alpha beta", "Nov  3 10:00:01 host-01 net-io[8]: ERR: beta"])
+    line = "Nov  3 10:00:01 host-01 net-io[7]: ERR: alpha beta"
+    p = t.parse(line)
+    assert p[2:4] == ("ERROR", "net-io") and line[p[4] :] == "alpha beta"
+    assert all(t.parse(x)[2:4] == ("", "app") for x in many + words)
+    kv = [f"ts=2024-11-03T10:00:00Z level=INFO component=app msg=x{i}" for i in range(3000)]
+    t = templates([*kv, '{"at": "2024-11-03T10:00:00Z", "sev": "WARN", "who": "net-io", "text": "alpha beta"}'])
+    assert t.parse('{"at": "2024-11-03T10:00:09Z", "sev": "ERR", "who": "net-io", "text": "beta"}')[2:4] == ("ERROR", "net-io")

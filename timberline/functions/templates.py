@@ -20,8 +20,6 @@ from timberline.functions.stamps import STAMP
 MAX_TOKENS = 18
 #: A shape below this share of a template that is its subsequence is taken for that template with other text behind it.
 MINOR = 0.2
-#: Templates kept per opener of a partition, by support; what is folded away is counted in its template.
-KEEP = 64
 
 _TOK = re.compile(rf"(?P<L>(?i:{LEVEL_ALT})(?![\w./-]))|(?P<W>[A-Za-z_][\w./-]*\w|[A-Za-z])|(?P<N>\d+(?:\.\d+)*)|(?P<S>[ \t]+)|(?P<P>[^\w\s])")
 _LEVEL_OPEN = re.compile(rf"\[?(?i:{LEVEL_ALT})\b")
@@ -104,16 +102,21 @@ def lcs(a: Shape, b: Shape) -> Shape:
     return tuple(out)
 
 
+def slots(s: Shape) -> tuple[bool, bool]:
+    """Whether a shape has a level set off by a mark, as in "INFO:", and a name with a process number. A level word before a
+    blank ("critical section") or a name before a colon may as well begin a message; their share decides."""
+    return any(t == "L" and s[i + 1 : i + 2] not in ((), (" ",)) for i, t in enumerate(s)), any(t == "W" and s[i + 1 : i + 4] == ("[", "N", "]") for i, t in enumerate(s))
+
+
 def fold(counts: Counter) -> Counter:
-    """Fold minor shapes into the longest template that is their longest common subsequence; by descending support."""
+    """Fold minor shapes into the longest template that is their longest common subsequence; by descending support. A shape
+    with such a level or component that the template lacks is a layout of its own, however few lines have it."""
     kept: Counter = Counter()
     for s, n in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
         home = None
         for t in kept:
-            if n < MINOR * kept[t] and len(t) < len(s) and lcs(t, s) == t and (home is None or len(t) > len(home)):
+            if n < MINOR * kept[t] and len(t) < len(s) and all(x >= y for x, y in zip(slots(t), slots(s))) and lcs(t, s) == t and (home is None or len(t) > len(home)):
                 home = t
-        if home is None and len(kept) >= KEEP:
-            home = max(kept, key=lambda t: (len(lcs(t, s)), kept[t]))
         kept[home if home is not None else s] += n
     return kept
 
@@ -154,9 +157,7 @@ class Miner:
 
     def rows(self) -> list[tuple[str, str, int]]:
         out = [(kind, json.dumps(s), n) for kind, c in self.shapes.items() for s, n in fold(c).items()]
-        # keys far below the most frequent one are data inside a record, not its fields
-        top = max(self.roles.values(), default=0)
-        return out + [(f"@{kind}", json.dumps([k, t]), n) for (kind, k, t), n in self.roles.items() if n * 1000 >= top]
+        return out + [(f"@{kind}", json.dumps([k, t]), n) for (kind, k, t), n in self.roles.items()]
 
 
 def _unit(tok: str, role: str) -> str:
@@ -194,14 +195,11 @@ class Templates:
         self.source = {k: dict(fold(c)) for k, c in shapes.items()}
         self.plans: dict[str, list] = {}
         for kind, c in self.source.items():
-            total = sum(c.values())
             plans = []
             for s in sorted(c, key=lambda s: (-len(s), -c[s], s)):
                 pat, has_level, has_comp = compile_shape(s)
                 if kind == "level" and not (has_level and has_comp):
                     continue  # a line of text that begins with a level word
-                if kind != "level" and c[s] < 0.002 * total:
-                    continue
                 plans.append((pat, has_level, has_comp))
             self.plans[kind] = plans
         self.keys: dict[str, dict[str, str]] = {}
