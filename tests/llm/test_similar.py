@@ -131,3 +131,18 @@ def test_id_blocks_do_not_part_neighbours(spark, monkeypatch):
     rows, truth = failures()
     lab = clusters.density_peaks(spark.createDataFrame(rows, "id bigint, text string"))
     assert clusters.neighbours(lab).count() == sum(n - 1 for n in [1, 1, 2, 3, 5, 8, 13, 60])
+
+
+def test_reordered_records_of_a_failure_meet(spark):
+    r = random.Random(6)
+    rows, truth = [], {}
+    for c in range(12):
+        core = [name(r, 4) for _ in range(20)]
+        for k in range(3):
+            own = [name(r, 4) for _ in range(10)]
+            w = core + own
+            r.shuffle(w)
+            rows.append((len(rows) + 1, " ".join(w + ["job", "failed"])))
+            truth[len(rows)] = c
+    got = {x["id"]: x["label"] for x in clusters.density_peaks(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert all((got[a] == got[b]) == (truth[a] == truth[b]) for a, b in itertools.combinations(truth, 2))
