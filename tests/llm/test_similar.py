@@ -120,7 +120,7 @@ def test_clusters_neighbours_and_samples(spark):
 
 
 def test_hot_blocks(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "HOT", 4)
+    monkeypatch.setattr(clusters, "TILE", 4)
     rows, truth = failures()
     got = {x["id"]: x["label"] for x in clusters.density_peaks(spark.createDataFrame(rows, "id bigint, text string")).collect()}
     assert all((got[a] == got[b]) == (truth[a] == truth[b]) for a, b in itertools.combinations(truth, 2))
