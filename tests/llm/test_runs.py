@@ -32,7 +32,7 @@ def test_spans_find_repetitions():
 def brute(rows):
     """Longest stretches by trying every start and slot."""
     out, n = set(), len(rows)
-    ok = lambda i, j, s: all(len(rows[i][1]) == len(r[1]) and all(x == y or k == s for k, (x, y) in enumerate(zip(rows[i][1], r[1]))) for r in rows[i : j + 1])
+    ok = lambda i, j, s: (i == j or [""] not in [r[1] for r in rows[i : j + 1]]) and all(len(rows[i][1]) == len(r[1]) and all(x == y or k == s for k, (x, y) in enumerate(zip(rows[i][1], r[1]))) for r in rows[i : j + 1])
     spans = {(i, j) for i in range(n) for j in range(i, n) for s in range(-1, len(rows[i][1])) if ok(i, j, s)}
     for i, j in spans:
         if j - i + 1 >= 3 and not any((a, b) != (i, j) and a <= i and b >= j for a, b in spans):
@@ -43,7 +43,7 @@ def brute(rows):
 def test_runs_equal_brute_force_over_blocks(spark, monkeypatch):
     r = random.Random(4)
     pool = ["still waiting for gate open", "now waiting for gate open", "lock drift found in store", "queue depth is 5 again", "cache miss on shard 7 today"]
-    for block in (5, 1000):
+    for block in (1, 2, 5, 1000):
         monkeypatch.setattr(entries, "BLOCK", block)
         rows, truth = [], {}
         for f in range(12):
@@ -67,11 +67,35 @@ def test_runs_equal_brute_force_over_blocks(spark, monkeypatch):
             nos = [s[0] for s in seq] + [n + 1]
             for a, b in brute(seq):
                 want.add((f, a, b, nos[nos.index(b) + 1] - 1))
-        if block == 1000:
-            assert got == want
-        else:  # the same entries are covered when a file is cut into small blocks
-            cover = lambda s: {(f, k) for f, a, _, c in s for k in range(a, c + 1)}
-            assert len(cover(got) ^ cover(want)) <= 0.02 * len(cover(want))
+        assert got == want
+
+
+def test_spans_do_not_depend_on_blocks():
+    import pandas as pd
+
+    names = [x.split()[0] for x in runs.EDGE.split(", ")]
+    r = random.Random(11)
+    for _ in range(250):
+        n = r.randint(1, 14)
+        keys = [r.choice(["a b c", "a b d", "a e c", "f b c", "a b", ""]) if r.random() < 0.7 else "a b c" for _ in range(n)]
+        seq = [(i, k.split(" ")) for i, k in enumerate(keys, 1)]
+        want = {(a, b) for a, b in brute(seq) if keys[a - 1]}
+        for size in (1, 2, 3, 6, 20):
+            found = [x for k in range(0, n, size) for x in runs._block_runs(1, k // size, list(range(k + 1, min(n, k + size) + 1)), keys[k : k + size])]
+            pdf = pd.DataFrame(found, columns=names).assign(last_line=n)
+            edges = runs._stitch((1,), pdf[pdf.kind > 0])
+            got = [(x.first_line, x.last_entry) for x in edges.itertuples()] + [(x[3], x[4]) for x in found if x[2] == 0]
+            assert len(got) == len(set(got)) and set(got) == want, (keys, size)
+
+
+def test_long_runs_are_linear():
+    import time
+
+    began = time.perf_counter()
+    assert len(runs.stretches([["x", "y"]] + [["a", "b"]] * 32_768 + [["c", "d"]])) == 3
+    mixed = [["a", str(i % 2)] for i in range(32_768)] + [["c", "0"]] + [["c", "1"]] * 32_768
+    assert [s[:2] for s in runs.stretches(mixed)] == [(0, 32_767), (32_768, 65_536)]
+    assert time.perf_counter() - began < 2
 
 
 def test_one_long_run_over_many_blocks(spark, monkeypatch):

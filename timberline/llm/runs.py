@@ -5,9 +5,11 @@ file and block of lines the events are mapped to code points, events that follow
 sharing one, and the string of code points is searched with a backreference, (.)\\1+. Spans map back to entries; within a
 span the exact rule, at most one word slot that differs over the whole stretch, cuts it into longest stretches.
 
-A file of any size is cut into blocks of entries.BLOCK lines. The stretches at a block's two edges are kept whatever their
-length and are joined across blocks afterwards, from two rows a block. Entries without words form no run; null previews
-and lines that open no entry extend the entry before them. Repeated rows count once."""
+A file of any size is cut into blocks of entries.BLOCK lines. A stretch over a block's edge ends in each block either with the
+events that equal the edge's own or with those that differ from it in one slot, so the stretches at the two edges, with the
+part that equals the edge, say all that other blocks can need. From these rows, two a block, stretches over edges are found
+by the same rule as inside a block: the result does not depend on the size of blocks. Entries without words form no run; null
+previews and lines that open no entry extend the entry before them. Repeated rows count once."""
 
 from __future__ import annotations
 
@@ -30,7 +32,9 @@ _VALUE = re.compile(
     r"|[+-]?\d+(?:[.:,-]\d+)*(?:(?:ms|us|ns|[smhd%]|[kKMG]i?B)(?![A-Za-z]))?"
 )
 _REPEAT = re.compile(r"(.)\1+", re.S)
-EDGE = "file_id bigint, block int, kind int, first_line int, last_entry int, end_line int, n int, words string, slot int"
+EDGE = "file_id bigint, block int, kind int, first_line int, last_entry int, end_line int, n int, words string, slot int, head_n int, head_last int, head_end int, tail_n int, tail_first int, tail_words string"
+#: Kinds of rows: a stretch inside a block, one that opens it, closes it, or is all of it.
+INNER, OPENS, CLOSES, WHOLE = 0, 1, 2, 3
 
 
 def canonical(message: str) -> str:
@@ -39,9 +43,12 @@ def canonical(message: str) -> str:
 
 
 def slot_of(a: list[str], b: list[str], slot: int) -> int:
-    """The one slot in which a run with template a and slot (-1: none yet) and event b differ; -2 if there is no such."""
-    if len(a) != len(b):
+    """The one slot in which a run with template a and slot (-1: none yet) and event b differ; -2 if there is no such. Events
+    without words go with nothing."""
+    if len(a) != len(b) or a == [""] or b == [""]:
         return -2
+    if a == b:
+        return slot
     for i, (x, y) in enumerate(zip(a, b)):
         if x != y and i != slot:
             if slot >= 0:
@@ -50,28 +57,43 @@ def slot_of(a: list[str], b: list[str], slot: int) -> int:
     return slot
 
 
-def stretches(events: list[list[str]]) -> list[tuple[int, int, int]]:
-    """(first, last, slot) of longest stretches of equal events but for one slot; they may share events at their ends."""
+def meet(a: list[str], slot: int, item: tuple[list[str], int]) -> int:
+    """slot_of for an item: events that equal its words but for its slot (-1: equal them)."""
+    words, own = item
+    if own >= 0:
+        if slot not in (-1, own):
+            return -2
+        slot = own
+    return slot_of(a, words, slot)
+
+
+def longest(items: list[tuple[list[str], int]]) -> list[tuple[int, int, int]]:
+    """(first, last, slot) of the longest stretches of items that are equal but for one slot, ascending; they may share items.
+    Where an item ends a stretch, the next one opens at the earliest item that goes with it, found by stepping back."""
     out = []
-    i, n = 0, len(events)
+    i, n = 0, len(items)
     while i < n:
-        slot, j = -1, i + 1
-        while j < n and (s := slot_of(events[i], events[j], slot)) != -2:
+        a, slot = items[i]
+        j = i + 1
+        while j < n and (s := meet(a, slot, items[j])) != -2:
             slot, j = s, j + 1
         out.append((i, j - 1, slot))
         if j >= n:
             break
-        # the next stretch opens at the earliest event that goes with event j
-        k, s = j, -1
-        while k - 1 > i:
-            t = slot_of(events[j], events[k - 1], s)
-            if t == -2 or any(slot_of(events[j], e, t) != t for e in events[k:j]):
-                break
+        k, (a, s) = j, items[j]
+        while k - 1 > i and (t := meet(a, s, items[k - 1])) != -2:
             k, s = k - 1, t
         i = k
     return out
 
 
+def stretches(events: list[list[str]]) -> list[tuple[int, int, int]]:
+    """(first, last, slot) of longest stretches of events equal but for one slot. Equal neighbours are taken as one item."""
+    starts = [i for i, e in enumerate(events) if not i or e != events[i - 1]]
+    ends = [*(x - 1 for x in starts[1:]), len(events) - 1]
+    return [(starts[a], ends[b], s) for a, b, s in longest([(events[i], -1) for i in starts])]
+
+
 def spans(keys: list[str]) -> list[tuple[int, int]]:
     """[start, end) of proposed repetitions: events to code points, backreference regex over the string."""
     code: dict[str, int] = {}
@@ -107,30 +129,42 @@ def line_events(lines: DataFrame, templates: Templates) -> DataFrame:
     return lines.where(KEYED).select("file_id", "line_number", "message_preview").mapInArrow(run, "file_id bigint, line_number int, event string").withColumn("block", _block())
 
 
+def _edge(words: list[list[str]]) -> tuple[int, int, int]:
+    """Of the stretch that opens with the first event: its last event, the last that equals the first one, its slot."""
+    slot, equal, j = -1, 0, 1
+    while j < len(words) and (s := slot_of(words[0], words[j], slot)) != -2:
+        if s == -1:
+            equal = j
+        slot, j = s, j + 1
+    return j - 1, equal, slot
+
+
 def _block_runs(f: int, k: int, nos: list[int], keys: list[str]) -> list[tuple]:
-    """Runs inside a block (kind 0) and its edge stretches (kind 1: opens the block, 2: closes it, 3: both)."""
+    """EDGE rows of a block: runs inside it and the stretches at its edges."""
     n = len(nos)
     words = [x.split(" ") for x in keys]
-    inner: list[tuple[int, int, int]] = []
-    for a, b in spans(keys):
-        inner += [(a + x, a + y, s) for x, y, s in stretches(words[a:b])]
-    inner = [r for r in inner if words[r[0]] != [""]]
-    head = next((r for r in inner if r[0] == 0), (0, 0, -1))
-    tails = [r for r in inner if r[1] == n - 1]
-    tail = min(tails, default=(n - 1, n - 1, -1))
+    end = [x - 1 for x in nos[1:]] + [None]
     out = []
-    for a, b, s in dict.fromkeys([*inner, head, tail]):
-        edge = (a == 0) + 2 * (b == n - 1)
-        if not edge and b - a + 1 < LEAST:
-            continue
-        end = nos[b + 1] - 1 if b + 1 < n else None
-        out.append((f, k, edge, nos[a], nos[b], end, b - a + 1, keys[a], s))
+    for a, b in spans(keys):
+        for x, y, s in stretches(words[a:b]):
+            x, y = a + x, a + y
+            if x > 0 and y < n - 1 and y - x + 1 >= LEAST and words[x] != [""]:
+                out.append((f, k, INNER, nos[x], nos[y], end[y], y - x + 1, keys[x], s, *[None] * 6))
+    b1, b0, slot = _edge(words)
+    if b1 == n - 1:
+        a1, a0, _ = _edge(words[::-1])
+        out.append((f, k, WHOLE, nos[0], nos[-1], None, n, keys[0], slot, b0 + 1, nos[b0], end[b0], a0 + 1, nos[n - 1 - a0], keys[-1]))
+        return out
+    out.append((f, k, OPENS, nos[0], nos[b1], end[b1], b1 + 1, keys[0], slot, b0 + 1, nos[b0], end[b0], None, None, None))
+    a1, a0, slot = _edge(words[::-1])
+    out.append((f, k, CLOSES, nos[n - 1 - a1], nos[-1], None, a1 + 1, keys[-1], slot, None, None, None, a0 + 1, nos[n - 1 - a0], keys[-1]))
     return out
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in EDGE.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types = [kinds[x.split()[1]] for x in EDGE.split(", ")]
 
     def pack(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -153,35 +187,44 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(_block_runs(*group, nos, keys))
 
 
+def _items(r: dict, end: int) -> list[tuple]:
+    """(words, slot, first line, last entry, last line, n) of the parts of an edge row at which a stretch may begin or end."""
+    words, slot, n = r["words"].split(" "), r["slot"], r["n"]
+    whole = (words, slot, r["first_line"], r["last_entry"], end, n)
+    if slot < 0:
+        return [whole]
+    out = []
+    if r["kind"] != CLOSES:
+        out.append((words, -1, r["first_line"], r["head_last"], r["head_end"], r["head_n"]))
+    between = n - (r["head_n"] or 0) - (r["tail_n"] or 0)
+    if between:
+        out.append((words, slot, r["first_line"], r["last_entry"], end, between))
+    if r["kind"] != OPENS:
+        out.append((r["tail_words"].split(" "), -1, r["tail_first"], r["last_entry"], end, r["tail_n"]))
+    return out
+
+
 def _stitch(key, pdf):
-    """Joins the edge stretches of one file's blocks; two rows a block."""
+    """The stretches at the edges of one file's blocks; two rows a block at most."""
     import pandas as pd
 
-    rows = pdf.sort_values(["block", "first_line"]).to_dict("records")
-    last = int(rows[0]["last_line"])
-    first_of = {}
+    rows = pdf.sort_values(["block", "kind"]).astype(object).where(pdf.notna(), None).to_dict("records")
+    first_of: dict[int, int] = {}
     for r in rows:
         first_of.setdefault(r["block"], r["first_line"])
     blocks = sorted(first_of)
-    after = {b: first_of[blocks[i + 1]] - 1 if i + 1 < len(blocks) else last for i, b in enumerate(blocks)}
-    out, cur = [], None
+    after = dict(zip(blocks, [*(first_of[b] - 1 for b in blocks[1:]), rows[0]["last_line"]]))
+    items: list[tuple] = []
     for r in rows:
-        end = r["end_line"] if r["end_line"] == r["end_line"] and r["end_line"] is not None else after[r["block"]]
-        s = -2
-        if cur is not None and cur["closes"] and r["kind"] & 1 and r["block"] != cur["block"]:
-            a, b = cur["words"].split(" "), r["words"].split(" ")
-            s = slot_of(a, b, int(cur["slot"]))
-            if s != -2 and r["slot"] >= 0:
-                s = int(r["slot"]) if s in (-1, int(r["slot"])) else -2
-        if s != -2:
-            cur |= {"n": cur["n"] + r["n"], "last_entry": r["last_entry"], "end": end, "slot": s, "block": r["block"], "closes": bool(r["kind"] & 2)}
-        else:
-            if cur is not None:
-                out.append(cur)
-            cur = {**r, "end": end, "closes": bool(r["kind"] & 2)}
-    out.append(cur)
-    keep = [x for x in out if x["n"] >= LEAST and x["words"]]
-    return pd.DataFrame({"file_id": [int(x["file_id"]) for x in keep], "first_line": [int(x["first_line"]) for x in keep], "last_entry": [int(x["last_entry"]) for x in keep], "last_line": [int(x["end"]) for x in keep], "n": [int(x["n"]) for x in keep]})
+        if r["kind"] == CLOSES:
+            items.append(([""], -1, 0, 0, 0, 0))  # what opens the block does not reach its end
+        items += _items(r, after[r["block"]] if r["end_line"] is None else r["end_line"])
+    out = []
+    for a, b, _ in longest([x[:2] for x in items]):
+        n = sum(x[5] for x in items[a : b + 1])
+        if n >= LEAST and items[a][0] != [""]:
+            out.append((int(rows[0]["file_id"]), int(items[a][2]), int(items[b][3]), int(items[b][4]), int(n)))
+    return pd.DataFrame(out, columns=["file_id", "first_line", "last_entry", "last_line", "n"])
 
 
 def runs(lines: DataFrame, templates: Templates) -> DataFrame:
