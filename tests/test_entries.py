@@ -132,3 +132,32 @@ def test_rare_layouts_and_keys():
     kv = [f"ts=2024-11-03T10:00:00Z level=INFO component=app msg=x{i}" for i in range(3000)]
     t = templates([*kv, '{"at": "2024-11-03T10:00:00Z", "sev": "WARN", "who": "net-io", "text": "alpha beta"}'])
     assert t.parse('{"at": "2024-11-03T10:00:09Z", "sev": "ERR", "who": "net-io", "text": "beta"}')[2:4] == ("ERROR", "net-io")
+
+
+def test_many_rare_layouts_under_one_stamp_and_any_partitioning(spark):
+    r = random.Random(8)
+    frames = ["{lv} {c}: {m}", "[{lv}] [{c}] {m}", "<{lv}> {c} - {m}", "{c}[{n}]: {lv}: {m}", "({n}) {lv} {c} | {m}", "{lv} [{t}] {c}: {m}", "#{n} {c} ({lv}) {m}"]
+    lines, want = [], {}
+    for p in range(1000):  # each program has a thousandth of the lines
+        f = r.choice(frames)
+        for _ in range(3):
+            lv, n = r.choice([("INFO", "INFO"), ("warn", "WARN"), ("ERR", "ERROR")]), r.randint(1, 9999)
+            line = "2024-11-03T10:00:00Z " + f.format(lv=lv[0], c=f"prog-{p}.core", n=n, t=f"worker-{n}", m=body(r))
+            lines.append(line)
+            want[line] = (lv[1], f"prog-{p}.core")
+    lines += [f"2024-11-03T10:00:00Z INFO hot.app: {body(r)}" for _ in range(3000)] + ["2024-11-03T10:00:00Z <{ERR}> (zeta.rare) alpha beta gamma"]
+    want[lines[-1]] = ("ERROR", "zeta.rare")
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    one, many = entries.mine_templates(df.coalesce(1)), entries.mine_templates(df.repartition(13))
+    assert one.source == many.source and one.slots == many.slots and one.keys == many.keys
+    for line, w in want.items():
+        assert many.parse(line)[2:4] == w, line
+
+
+def test_header_is_the_common_subsequence_of_entries():
+    lines = [f"2024-11-03T10:00:00Z INFO app: alpha={i} beta" for i in range(50)] + [f"2024-11-03T10:00:00Z INFO app: beta ({i}) gamma" for i in range(40)] + ["2024-11-03T10:00:00Z WARN net: zeta 7% alpha"]
+    t = templates(lines)
+    assert [p[2:4] for p in map(t.parse, lines)] == [("INFO", "app")] * 90 + [("WARN", "net")]
+    assert lines[0][t.parse(lines[0])[4] :] == "alpha=0 beta"
+    s = next(iter(t.source["iso"]))
+    assert t.slots["iso"][s] == [" ", None, " ", None, ":"]  # constant marks, variable level and name

@@ -1,11 +1,13 @@
 """Header templates of log entries by longest-common-subsequence mining.
 
 An entry's first line is tokenised into typed tokens: its opening stamp, level words, names, numbers, runs of blanks and
-single marks. The shape of a header is the token sequence up to the free text. Shapes are counted per partition
-(`Miner.add`), rare ones are folded into a frequent shape that is their longest common subsequence, the shapes of all
-partitions are merged the same way (`merge`), and each slot of a surviving template is classified: stamp, level, host,
-process number, component, message. Structured records (JSON objects, key=value lines) are mined by key: a key's role
-follows from the types of the values seen under it."""
+single marks. The shape of a header is the token sequence up to the free text, MAX_TOKENS at most. Entries of one shape form
+one cluster, for each of whose slots is kept whether all its entries hold the same text there (a constant slot) or not (a
+variable one). Clusters are counted per partition (`Miner`) and added up in Spark, so the result does not depend on the
+partitioning. Then clusters whose longest common subsequence is a header of its own are merged into it (`fold`): what follows
+it is message text. No layout is dropped for being rare: a cluster merges only into a template that parses its lines. Each
+slot of a template is classified: stamp, level, host, process number, component, message. Structured records (JSON
+objects, key=value lines) are mined by key: a key's role follows from the types of the values seen under it."""
 
 from __future__ import annotations
 
@@ -18,7 +20,8 @@ from timberline.functions.levels import LETTER_LEVEL, LEVEL_ALT, LEVEL_OF
 from timberline.functions.stamps import STAMP
 
 MAX_TOKENS = 18
-#: A shape below this share of a template that is its subsequence is taken for that template with other text behind it.
+#: A shape that begins with a template and goes on with a name before a mark has a longer header or a message that begins so;
+#: below this share of the template it is taken for the latter. The lines are parsed and keep level and component either way.
 MINOR = 0.2
 
 _TOK = re.compile(rf"(?P<L>(?i:{LEVEL_ALT})(?![\w./-]))|(?P<W>[A-Za-z_][\w./-]*\w|[A-Za-z])|(?P<N>\d+(?:\.\d+)*)|(?P<S>[ \t]+)|(?P<P>[^\w\s])")
@@ -57,9 +60,10 @@ def opener(line: str) -> tuple[str, int, int, int] | None:
     return None
 
 
-def shape(line: str, start: int) -> Shape:
-    """Typed tokens from start up to the free text, cut back to the last mark or level."""
+def tokens(line: str, start: int) -> tuple[Shape, list[str]]:
+    """Typed tokens from start up to the free text, cut back to the last mark or level, and their texts."""
     out: list[str] = []
+    texts: list[str] = []
     plain = 0  # names in a row, parted by blanks only
     pos = start
     while len(out) < MAX_TOKENS:
@@ -70,6 +74,7 @@ def shape(line: str, start: int) -> Shape:
         pos = m.end()
         if k == "S":
             out.append(" ")
+            texts.append(m[0])
             continue
         if k == "W":
             plain += 1
@@ -78,9 +83,11 @@ def shape(line: str, start: int) -> Shape:
         else:
             plain = 0
         out.append(m[0] if k == "P" else k)
-    while out and out[-1] in (" ", "W", "N"):
-        out.pop()
-    return tuple(out)
+        texts.append(m[0])
+    n = len(out)
+    while n and out[n - 1] in (" ", "W", "N"):
+        n -= 1
+    return tuple(out[:n]), texts[:n]
 
 
 def lcs(a: Shape, b: Shape) -> Shape:
@@ -108,16 +115,41 @@ def slots(s: Shape) -> tuple[bool, bool]:
     return any(t == "L" and s[i + 1 : i + 2] not in ((), (" ",)) for i, t in enumerate(s)), any(t == "W" and s[i + 1 : i + 4] == ("[", "N", "]") for i, t in enumerate(s))
 
 
+def header_of(a: Shape, b: Shape) -> Shape:
+    """The longest common subsequence of two shapes, if it opens both and is a whole header: a level or process number and a
+    name, closed by a mark, behind which neither goes on with a level or a name set off by a mark. Else ()."""
+    c = list(lcs(a, b))
+    while c and (c[-1] in (" ", "W", "N") or tuple(c) != a[: len(c)] or tuple(c) != b[: len(c)]):
+        c.pop()
+    t = tuple(c)
+    if "W" not in t or not ("L" in t or slots(t)[1]):
+        return ()
+    for rest in (a[len(t) :], b[len(t) :]):
+        if not rest or "L" in rest or any(x == "W" and y in (":", "]", ")", "|", "[") for x, y in zip(rest, rest[1:])):
+            return ()
+    return t
+
+
 def fold(counts: Counter) -> Counter:
-    """Fold minor shapes into the longest template that is their longest common subsequence; by descending support. A shape
-    with such a level or component that the template lacks is a layout of its own, however few lines have it."""
+    """Templates of clustered shapes, by descending support. A shape merges into the longest template that opens it, where it
+    is rarer than MINOR of it and has no level or process number of its own; what is left merges into the longest common
+    subsequence of two of them where that is a header."""
     kept: Counter = Counter()
     for s, n in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
-        home = None
-        for t in kept:
-            if n < MINOR * kept[t] and len(t) < len(s) and all(x >= y for x, y in zip(slots(t), slots(s))) and lcs(t, s) == t and (home is None or len(t) > len(home)):
-                home = t
-        kept[home if home is not None else s] += n
+        own = slots(s)
+        homes = (s[:k] for k in range(len(s) - 1, -1, -1) if s[:k] in kept)
+        home = next((t for t in homes if n < MINOR * kept[t] and all(x >= y for x, y in zip(slots(t), own))), s)
+        kept[home] += n
+    by: dict[Shape, list[Shape]] = defaultdict(list)
+    for s in kept:  # only shapes with the same first marks can have a header in common
+        by[tuple(x for x in s[:8] if x != " ")[:4]].append(s)
+    for group in by.values():
+        group.sort()
+        for a, b in zip(group, group[1:]):
+            if (t := header_of(a, b)) and t not in (a, b):
+                for s in (a, b):
+                    if s in kept:
+                        kept[t] += kept.pop(s)
     return kept
 
 
@@ -132,6 +164,12 @@ def value_type(v: str) -> str:
     return "M" if " " in v else "O"
 
 
+def role_of(c: Counter) -> str:
+    """Role of a key by the types of its values: nine in ten must agree."""
+    n = sum(c.values())
+    return "level" if c["L"] > 0.9 * n else "stamp" if c["T"] > 0.9 * n else "component" if c["W"] > 0.9 * n else "message"
+
+
 def pairs(line: str, kind: str) -> list[tuple[str, str]]:
     found = (_JSON_PAIR if kind == "json" else _KV_PAIR).findall(line)
     return [(k, q if v[:1] == '"' else v) for k, v, q in found]
@@ -139,9 +177,9 @@ def pairs(line: str, kind: str) -> list[tuple[str, str]]:
 
 @dataclass
 class Miner:
-    """Counts of one partition."""
+    """Counts of one partition: of shapes, with the texts of their slots as far as all entries agree, and of key roles."""
 
-    shapes: dict[str, Counter] = field(default_factory=lambda: defaultdict(Counter))
+    shapes: dict[str, dict[Shape, list]] = field(default_factory=lambda: defaultdict(dict))
     roles: Counter = field(default_factory=Counter)
 
     def add(self, line: str) -> None:
@@ -152,63 +190,79 @@ class Miner:
         if kind in ("json", "kv"):
             for k, v in pairs(line, kind):
                 self.roles[kind, k, value_type(v)] += 1
-        else:
-            self.shapes[kind][shape(line, o[3])] += 1
+            return
+        s, texts = tokens(line, o[3])
+        have = self.shapes[kind].get(s)
+        if have is None:
+            self.shapes[kind][s] = [1, texts]
+            return
+        have[0] += 1
+        if have[1] != texts:
+            have[1] = [x if x == y else None for x, y in zip(have[1], texts)]
 
-    def rows(self) -> list[tuple[str, str, int]]:
-        out = [(kind, json.dumps(s), n) for kind, c in self.shapes.items() for s, n in fold(c).items()]
-        return out + [(f"@{kind}", json.dumps([k, t]), n) for (kind, k, t), n in self.roles.items()]
+    def rows(self) -> list[tuple[str, str, int, list[str | None]]]:
+        out = [(kind, json.dumps(s), n, texts) for kind, c in self.shapes.items() for s, (n, texts) in c.items()]
+        return out + [(f"@{kind}", json.dumps([k, t]), n, []) for (kind, k, t), n in self.roles.items()]
 
 
-def _unit(tok: str, role: str) -> str:
-    if tok == "L":
-        return rf"(?P<level>(?i:{LEVEL_ALT}))(?![\w./-])" if role == "level" else rf"(?i:{LEVEL_ALT})(?![\w./-])"
-    if tok == "W":
-        return r"(?P<component>[A-Za-z_][\w./-]*\w|[A-Za-z])" if role == "component" else r"[A-Za-z_][\w./-]*"
-    if tok == "N":
-        return r"\d+(?:\.\d+)*"
-    return r"[ \t]+" if tok == " " else re.escape(tok)
+def merge(rows: list[tuple[str, str, int, list[str | None]]]) -> list[tuple[str, str, int, list[str | None]]]:
+    """Rows of several partitions as of one."""
+    out: dict[tuple[str, str], list] = {}
+    for kind, what, n, texts in rows:
+        have = out.get((kind, what))
+        out[kind, what] = [n, texts] if have is None else [have[0] + n, [x if x == y else None for x, y in zip(have[1], texts)]]
+    return [(*k, *v) for k, v in out.items()]
 
 
-def compile_shape(s: Shape) -> tuple[re.Pattern, bool, bool]:
-    """(pattern from the end of the opener, has a level, has a component). The component is the name before a process
-    number, else the last name slot; the level the first level slot."""
+def fields(s: Shape) -> tuple[int, int]:
+    """Slots of the level and the component, -1 for none. The component is the name before a process number, else the last
+    name; the level the first level."""
     names = [i for i, t in enumerate(s) if t == "W"]
     comp = next((i for i in names if s[i + 1 : i + 4] == ("[", "N", "]")), names[-1] if names else -1)
-    level = s.index("L") if "L" in s else -1
-    src = "".join(_unit(t, "component" if i == comp else "level" if i == level else "") for i, t in enumerate(s))
-    return re.compile(src + r"[ \t]*"), level >= 0, comp >= 0
+    return (s.index("L") if "L" in s else -1), comp
 
 
 class Templates:
-    """Parser of first lines by mined templates."""
+    """Parser of first lines by mined templates. rows: as Miner.rows or merge gives them."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, rows: list[tuple[str, str, int, list[str | None]]]):
         shapes: dict[str, Counter] = defaultdict(Counter)
+        constant: dict[str, dict[Shape, list[str | None]]] = defaultdict(dict)
         roles: dict[str, dict[str, Counter]] = {"json": defaultdict(Counter), "kv": defaultdict(Counter)}
-        for kind, what, n in rows:
+        for kind, what, n, texts in merge(rows):
             if kind[0] == "@":
                 k, t = json.loads(what)
                 roles[kind[1:]][k][t] += n
             else:
-                shapes[kind][tuple(json.loads(what))] += n
+                s = tuple(json.loads(what))
+                shapes[kind][s] += n
+                constant[kind][s] = texts
         self.source = {k: dict(fold(c)) for k, c in shapes.items()}
-        self.plans: dict[str, list] = {}
+        self.slots = {k: {s: self._slots(s, constant[k]) for s in c} for k, c in self.source.items()}
+        self.plans: dict[str, dict[Shape, tuple[int, int, int]]] = {}
         for kind, c in self.source.items():
-            plans = []
-            for s in sorted(c, key=lambda s: (-len(s), -c[s], s)):
-                pat, has_level, has_comp = compile_shape(s)
-                if kind == "level" and not (has_level and has_comp):
-                    continue  # a line of text that begins with a level word
-                plans.append((pat, has_level, has_comp))
-            self.plans[kind] = plans
-        self.keys: dict[str, dict[str, str]] = {}
-        for kind, by in roles.items():
-            role: dict[str, str] = {}
-            for k, c in by.items():
-                n = sum(c.values())
-                role[k] = "level" if c["L"] > 0.9 * n else "stamp" if c["T"] > 0.9 * n else "component" if c["W"] > 0.9 * n else "message"
-            self.keys[kind] = role
+            plans = {s: (len(s), *fields(s)) for s in c}
+            # a line of text may begin with a level word, so there a header has both
+            self.plans[kind] = {s: p for s, p in plans.items() if kind != "level" or min(p[1:]) >= 0}
+        self.fitting: dict[tuple[str, Shape], tuple[int, int, int] | None] = {}
+        self.keys = {kind: {k: role_of(c) for k, c in by.items()} for kind, by in roles.items()}
+
+    @staticmethod
+    def _slots(s: Shape, seen: dict[Shape, list[str | None]]) -> list[str | None]:
+        """Per slot the text that all entries of the template hold there, None where it varies."""
+        out: list[str | None] | None = None
+        for x, texts in seen.items():
+            if x[: len(s)] == s:
+                out = texts[: len(s)] if out is None else [a if a == b else None for a, b in zip(out, texts)]
+        return out or []
+
+    def _plan(self, kind: str, s: Shape) -> tuple[int, int, int] | None:
+        """The longest template that opens a shape."""
+        key = (kind, s)
+        if key not in self.fitting:
+            plans = self.plans.get(kind, {})
+            self.fitting[key] = next((plans[s[:k]] for k in range(len(s), -1, -1) if s[:k] in plans), None)
+        return self.fitting[key]
 
     def parse(self, line: str) -> tuple[str | None, str | None, str, str, int] | None:
         """(format, stamp, level, component, start of the message) of a line that opens an entry, else None.
@@ -223,7 +277,7 @@ class Templates:
             level = comp = ""
             hit = False
             for k, v in pairs(line, kind):
-                r = role.get(k)
+                r = role.get(k, "message")
                 if r == "stamp" and s is None:
                     m = STAMP.match(v)
                     if m and m.end() == len(v):
@@ -237,11 +291,13 @@ class Templates:
         fmt = kind.lstrip("[") if kind != "level" else None
         stamp = line[a:b] if fmt else None
         letter = LETTER_LEVEL.get(line[0], "") if fmt == "glog" else ""
-        for pat, has_level, has_comp in self.plans.get(kind, ()):
-            m = pat.match(line, end)
-            if m:
-                level = letter or (LEVEL_OF[m["level"].upper()] if has_level else "")
-                return fmt, stamp, level, m["component"] if has_comp else "", m.end()
+        shape, texts = tokens(line, end)
+        if (p := self._plan(kind, shape)) is not None:
+            k, lv, comp = p
+            at = end + sum(map(len, texts[:k]))
+            while line[at : at + 1] in (" ", "\t"):
+                at += 1
+            return fmt, stamp, letter or (LEVEL_OF[texts[lv].upper()] if lv >= 0 else ""), texts[comp] if comp >= 0 else "", at
         return None if fmt is None else (fmt, stamp, letter, "", end)
 
     def message_of(self, line: str, kind: str | None = None) -> str:
@@ -249,6 +305,6 @@ class Templates:
         kind = kind or ("json" if line[:1] == "{" else "kv")
         role = self.keys[kind]
         for k, v in pairs(line, kind):
-            if role.get(k) == "message":
+            if role.get(k, "message") == "message":
                 return v
         return ""

@@ -7,6 +7,7 @@ no task ever holds a whole file. Rows without a key take no part."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from timberline.session import cut, table
 
 BLOCK = 32_768
 KEYED = "file_id is not null and line_number is not null"
-MINED = "kind string, what string, n bigint"
+MINED = "kind string, what string, n bigint, texts array<string>"
 
 
 def text_lines(text: str) -> list[str]:
@@ -41,19 +42,29 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     m.add(text)
     rows = m.rows()
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "what", "n"])
+    types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "what", "n", "texts"])
 
 
 def mine_templates(*columns: DataFrame) -> Templates:
-    """Templates of all texts in the first columns of the given frames. Each task folds its shapes by longest common
-    subsequence, equal shapes of all tasks are added up in Spark, and what reaches the driver is bounded by the number of
-    distinct header shapes (at most KEEP per opener and task before adding up). Null and empty texts count for nothing;
-    with no entry at all the templates are empty and a line opens an entry only by a stamp of its own."""
-    parts = [c.mapInArrow(_mine, MINED) for c in columns]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
-    return Templates([tuple(r) for r in rows.groupBy("kind", "what").agg(F.sum("n").alias("n")).collect()])
+    """Templates of all texts in the first columns of the given frames. Each task clusters its entries by shape; Spark adds up
+    the clusters of all tasks and finds their constant slots, so the result is the same however the rows are parted. The driver
+    gets one row per distinct shape and per key whose values are levels, stamps or names; other keys are message keys. Null
+    and empty texts count for nothing; with no entry at all the templates are empty and a line opens an entry only by a stamp of
+    its own."""
+    rows = reduce(DataFrame.unionAll, [c.mapInArrow(_mine, MINED) for c in columns])
+    rows = cut(rows, "mined")
+    shape = rows.where("kind not like '@%'")
+    slot = shape.select("kind", "what", F.posexplode("texts").alias("i", "text")).groupBy("kind", "what", "i")
+    slot = slot.agg(F.when((F.min("text") == F.max("text")) & (F.count("text") == F.count("*")), F.min("text")).alias("text"))
+    texts = slot.groupBy("kind", "what").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("texts"))
+    shapes = shape.groupBy("kind", "what").agg(F.sum("n").alias("n")).join(texts, ["kind", "what"], "left")
+    key, typ = F.get_json_object("what", "$[0]"), F.get_json_object("what", "$[1]")
+    keys = rows.where("kind like '@%'").groupBy("kind", "what").agg(F.sum("n").alias("n"))
+    per = Window.partitionBy("kind", key)
+    keys = keys.withColumn("share", F.max(F.when(typ.isin("L", "T", "W"), F.col("n"))).over(per) / F.sum("n").over(per)).where("share > 0.9")
+    found = shapes.select("kind", "what", "n", F.coalesce("texts", F.array().cast("array<string>"))).unionAll(keys.select("kind", "what", "n", F.array().cast("array<string>")))
+    return Templates([tuple(r) for r in found.collect()])
 
 
 # -- texts ------------------------------------------------------------------------------------------------------------
