@@ -112,6 +112,23 @@ def test_line_instants(spark):
     assert got == [(1, 1, base + 123_000), (1, 2, base + 1_000_000)]
 
 
+def test_line_instants_do_not_depend_on_blocks(spark, monkeypatch):
+    r = random.Random(2)
+    texts = [f"{d:02d}/{m:02d}/2024 10:00:00 [INFO] app.core: x y" for m in (2, 3, 4) for d in range(1, 29)]
+    other = ["2024-03-04T01:00:00Z [INFO] app.core: x", "2024-03-04 10:00:00 CST [INFO] app.core: x", "2024-03-04T03:00:00Z [INFO] app.core: x", "03/04/2024 10:00:00 [INFO] app.core: x"]
+    rows = [(1, i, 0, "INFO", x, "s1") for i, x in enumerate(texts, 1)] + [(2, i, 0, "INFO", r.choice(other), "s2") for i in range(1, 60)]
+    lines = spark.createDataFrame(rows, "file_id bigint, line_number int, timestamp_us bigint, level string, message_preview string, source_file string")
+    files = spark.createDataFrame([(1, 1_730_500_000_000_000)], "file_id bigint, seen_us bigint")
+    zones = spark.createDataFrame([("s1", "UTC")], "source_file string, time_zone string")
+    t = templates([x[4] for x in rows])
+    found = []
+    for block in (1, 3, 1000):
+        monkeypatch.setattr(entries, "BLOCK", block)
+        found.append(sorted(tuple(x)[:3] for x in entries.line_instants(lines, files, zones, t).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert [x[2] for x in found[0] if x[0] == 1] == sorted(x[2] for x in found[0] if x[0] == 1)  # day first
+
+
 def test_project_queries_run(spark, small):
     a = entries.found_instants(spark, small)
     assert a.columns == ["record_table", "record_key", "line_no", "utc_us"] and a.count() > 0

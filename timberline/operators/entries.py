@@ -6,6 +6,7 @@ no task ever holds a whole file. Rows without a key take no part."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.functions.stamps import readings, viterbi
+from timberline.functions.stamps import decode, join_parts, order_cost, orders_of, part, readings
 from timberline.functions.templates import Miner, Templates
 from timberline.session import cut, table
 
@@ -98,10 +99,10 @@ def text_entries(texts: DataFrame, templates: Templates) -> DataFrame:
     return texts.where("key is not null").select("key", "text").mapInArrow(run, "key string, line_no int, n_lines int, level string, component string").dropDuplicates(["key", "line_no"])
 
 
-def text_instants(texts: DataFrame, templates: Templates, **weights: float) -> DataFrame:
+def text_instants(texts: DataFrame, templates: Templates) -> DataFrame:
     """One row per entry with a stamp of its own: key, line_no, utc_us. texts: (key, text, time_zone, seen_us).
 
-    All valid readings of each stamp are listed and one path through them is chosen per record by Viterbi. A stamp with
+    All valid readings of each stamp are listed, and the order of numeric dates and one path are chosen per record by Viterbi. A stamp with
     no valid reading (30 February, hour 25) gives no row. A null time_zone is UTC; without seen_us a stamp that lacks the
     year gives no row."""
 
@@ -117,7 +118,7 @@ def text_instants(texts: DataFrame, templates: Templates, **weights: float) -> D
                     if line and (p := parse(line)) is not None and p[0] and (r := readings(p[0], p[1], tz, seen)):
                         at.append(i)
                         seq.append(r)
-                for i, (t, _) in zip(at, viterbi(seq, **weights)):
+                for i, t in zip(at, decode(seq) if seq else ()):
                     key.append(k)
                     no.append(i)
                     us.append(t)
@@ -181,13 +182,13 @@ def line_entries(lines: DataFrame, templates: Templates) -> DataFrame:
     )
 
 
-def line_instants(lines: DataFrame, files: DataFrame, zones: DataFrame, templates: Templates, **weights: float) -> DataFrame:
+def line_instants(lines: DataFrame, files: DataFrame, zones: DataFrame, templates: Templates) -> DataFrame:
     """One row per entry with a stamp: file_id, line_number, utc_us, old_us. files: (file_id, seen_us), one row per
     file; zones: (source_file, time_zone).
 
-    The readings are decoded in line order per (file, block). Each block opens without a predecessor; as long as the gap
-    between the rule's reading and others exceeds twice the cost of a switch and a step back (the default), the choice
-    at a block's edge is that of the undivided file."""
+    The readings are decoded in line order per (file, block), under each order of numeric dates that the block leaves open.
+    What depends on other blocks, the stamps before the first and after the last one with a single open reading and the orders
+    themselves, is decided per file from one row a block, so the result does not depend on the size of blocks."""
     heads = line_heads(lines, templates).where(F.col("fmt").isNotNull()).select("file_id", "block", "line_number", "old_us", "fmt", "stamp")
     spread = (
         lines.where(KEYED)
@@ -198,44 +199,96 @@ def line_instants(lines: DataFrame, files: DataFrame, zones: DataFrame, template
         .select("file_id", F.explode(F.sequence(F.lit(0), _block("last_line"))).alias("block"), "seen_us", "time_zone")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, nos, olds, seq, last = None, [], [], [], [], None
-
-        def flush():
-            us = [t for t, _ in viterbi(seq, **weights)]
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(us, pa.int64()), pa.array(olds, pa.int64())], names=["file_id", "line_number", "utc_us", "old_us"])
-            for x in (ids, nos, olds, seq):
-                x.clear()
-            return out
-
-        pending = []
-        for b in batches:
-            for f, k, n, old, fmt, stamp, seen, tz in zip(*(c.to_pylist() for c in b.columns)):
-                if (f, k) != group:
-                    if ids:
-                        pending.append(flush())
-                    group, last = (f, k), None
-                if n == last:
-                    continue  # a repeated delivery
-                last = n
-                if r := readings(fmt, stamp, tz, seen):
-                    ids.append(f)
-                    nos.append(n)
-                    olds.append(old)
-                    seq.append(r)
-            if pending:
-                yield from pa.Table.from_batches(pending).combine_chunks().to_batches()
-                pending = []
-        if ids:
-            yield flush()
-
-    return (
+    blocks = (
         heads.join(spread, ["file_id", "block"])
         .repartition("file_id", "block")
         .sortWithinPartitions("file_id", "block", "line_number")
         .select("file_id", "block", "line_number", "old_us", "fmt", "stamp", "seen_us", "time_zone")
-        .mapInArrow(run, "file_id bigint, line_number int, utc_us bigint, old_us bigint")
+        .mapInArrow(_decode_blocks, DECODED)
     )
+    blocks = cut(blocks, "instants")
+    edges = blocks.where("edge is not null").select("file_id", "block", "edge").groupBy("file_id").applyInPandas(_decode_files, "file_id bigint, line_number int, old_us bigint, utc_us bigint, orders int")
+    edges = cut(edges, "edges")
+    plain = blocks.where("size(times) = 1").select("file_id", "line_number", F.col("times")[0].alias("utc_us"), "old_us")
+    swapped = edges.where("orders > 0").select("file_id", "orders")
+    open_ = blocks.where("size(times) > 1").join(swapped, "file_id", "left").select("file_id", "line_number", F.col("times")[F.coalesce("orders", F.lit(0))].alias("utc_us"), "old_us")
+    return plain.unionAll(open_).unionAll(edges.where("line_number is not null").select("file_id", "line_number", "utc_us", "old_us"))
+
+
+DECODED = "file_id bigint, block int, line_number int, old_us bigint, times array<bigint>, edge string"
+
+
+def _decode_block(f: int, k: int, nos: list[int], olds: list[int | None], seq: list) -> list[tuple]:
+    """DECODED rows: the instants that are settled in the block (one, or one per order), and its edge row."""
+    tried = orders_of(seq, shown=True)
+    parts = {o: part(seq, o) for o in tried}
+    out = []
+    for i, no in enumerate(nos):
+        times = [parts[o].times[i] for o in tried]
+        if None in times:  # settled per file under all orders
+            continue
+        if len(set(times)) == 1:
+            times = times[:1]
+        elif len(tried) < 4:  # an order that does not matter here
+            times = [parts[o & tried[-1]].times[i] for o in range(4)]
+        out.append((f, k, no, olds[i], times, None))
+    loose = {i for p in parts.values() for i, t in enumerate(p.times) if t is None}
+    edge = {
+        "orders": tried,
+        "parts": [(p.cost, p.head, p.tail) for p in parts.values()],
+        # stamps that are settled under some orders only: their times there
+        "stamps": {i: (nos[i], olds[i], [p.times[i] for p in parts.values()]) for i in loose},
+    }
+    return [*out, (f, k, None, None, None, json.dumps(edge))]
+
+
+def _decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
+    names = [x.split()[0] for x in DECODED.split(", ")]
+    group, nos, olds, seq, last, rows = None, [], [], [], None, []
+    for b in batches:
+        for f, k, n, old, fmt, stamp, seen, tz in zip(*(c.to_pylist() for c in b.columns)):
+            if (f, k) != group:
+                if nos:
+                    rows += _decode_block(*group, nos, olds, seq)
+                group, nos, olds, seq, last = (f, k), [], [], [], None
+            if n == last:
+                continue  # a repeated delivery
+            last = n
+            if r := readings(fmt, stamp, tz, seen):
+                nos.append(n)
+                olds.append(old)
+                seq.append(r)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            rows = []
+    if nos:
+        rows = _decode_block(*group, nos, olds, seq)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _decode_files(key, pdf):
+    """Of one file: a row with its orders where they are not the rules', and a row per stamp that its block left open."""
+    import pandas as pd
+
+    blocks = [json.loads(e) for e in pdf.sort_values("block")["edge"]]
+    bits = reduce(int.__or__, (b["orders"][-1] for b in blocks))
+    best = None
+    for o in (x for x in range(4) if x & bits == x):
+        mine = [b["parts"][b["orders"].index(o & b["orders"][-1])] for b in blocks]
+        cost, times = join_parts([(c, [r for _, r in head], [r for _, r in tail]) for c, head, tail in mine])
+        if best is None or cost + order_cost(o) < best[0]:
+            best = cost + order_cost(o), times, o, mine
+    _, times, o, mine = best
+    out, queue = [], iter(times)
+    for b, (cost, head, tail) in zip(blocks, mine):
+        free = {i: next(queue) for i, _ in (head if cost is None else head[:-1])} | {i: next(queue) for i, _ in tail[1:]}
+        at = b["orders"].index(o & b["orders"][-1])
+        for i, (no, old, settled) in b["stamps"].items():
+            out.append((int(key[0]), no, old, free.get(int(i), settled[at]), 0))
+    if o:
+        out.append((int(key[0]), None, None, None, o))
+    return pd.DataFrame({c: pd.array([r[k] for r in out], dtype="Int64") for k, c in enumerate(("file_id", "line_number", "old_us", "utc_us", "orders"))})
 
 
 # -- the tables of the project ----------------------------------------------------------------------------------------
