@@ -53,6 +53,24 @@ def types(line):
         ("pay GB82 WEST 1234 5698 7654 32 now", {"iban"}),
         ("pay GB82 WEST 1234 5698 7654 33 now", set()),
         ("", set()),
+        ("phone: 13912345678 (mobile)", {"phone"}),
+        ("batch 13912345678 done", set()),
+        ("rappelez au 06 12 34 56 78 demain", {"phone"}),
+        ("passport no 533380006 shown", {"id_number"}),
+        ("offset 533380006 shown", set()),
+        ("card 378282246310005 charged", {"card"}),
+        ("lives at 221B Baker Street", {"address"}),
+        ("came to 12 Mill Way Springfield", {"address"}),
+        ("near 8 Elm Close", {"address"}),
+        ("sent to 5 viale Roma", {"address"}),
+        ("сообщил Иван Петров вчера", {"name"}),
+        ("负责人:王小明", {"name"}),
+        ("Anna Schmidt asked for the log", {"name"}),
+        ("met with Nguyen Van An there", {"name"}),
+        ("uses Spring Framework here", set()),
+        ("opened in Visual Studio now", set()),
+        ("built for Red Hat hosts", set()),
+        ("a Linux Kernel panic", set()),
     ],
 )
 def test_lines(line, want):
@@ -81,3 +99,16 @@ def test_frames(spark):
     got = P.redacted(df).collect()
     assert len(got) == 5 and [r["text"] for r in got if r["key"] == "n"] == [None]
     assert P.find(df.limit(0)).collect() == []
+
+
+def test_hostile_lines_are_linear():
+    import time
+
+    began = time.perf_counter()
+    for line in ("a" + ".b" * 10_000 + "[at]", "a" + ".b" * 10_000 + "@", "a" + " [dot] b" * 5_000 + " (at) ", "@" * 20_000, "a@" + "b." * 20_000, "0" * 50_000, "A" * 50_000, "Ab " * 20_000):
+        P.line_spans(line)
+    assert time.perf_counter() - began < 5
+
+
+def test_all_name_parts_are_taken():
+    assert P.redact("met with Nguyen Van An there") == "met with [NAME] there"

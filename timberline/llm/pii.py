@@ -26,7 +26,12 @@ HOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
 _AT = r"(?:@|\s?\[at\]\s?|\s?\(at\)\s?|%40)"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)"
-_EMAIL = re.compile(rf"(?<![\w@/.+-])[A-Za-z0-9](?:[\w+-]|\.(?=[\w+-])|{_DOT}(?=\S*?(?:\[at\]|\(at\))))*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,24}}\b")
+_SPELLED_DOT = r"\s?\[dot\]\s?|\s?\(dot\)\s?"
+#: An address is sought from its sign: the part before it is at most LOCAL letters (64 by the standard, dots spelled out).
+_SIGN = re.compile(_AT)
+_LOCAL = re.compile(rf"(?<![\w@/.+-])[A-Za-z0-9](?:[\w+-]|\.(?=[\w+-])|{_SPELLED_DOT})*\Z")
+_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,24}}\b")
+LOCAL = 128
 _MACHINE = re.compile(r"(?i)(?:git|hg|svn|no-?reply|do-?not-?reply|(?:[\w.-]*-)?bot|mailer-daemon|daemon|postmaster|root)\Z")
 _NUMBER = re.compile(
     r"(?<![\w.:/+-])(?:"
@@ -35,6 +40,7 @@ _NUMBER = re.compile(
     r"|(?P<area>\(0?\d{2,5}\)[ -]?\d{3,4}[ -]?\d{3,4})"
     r"|(?P<nanp>\d{3}(?P<sep>[-. ])\d{3}(?P=sep)\d{4})"
     r"|(?P<trunk>0\d{2,4} \d{3,4} \d{3,4})"
+    r"|(?P<pairs>0[1-9](?P<ps>[ .-])\d{2}(?:(?P=ps)\d{2}){3})"
     r"|(?P<ssn>\d{3}(?P<sp>[- ])\d{2}(?P=sp)\d{4})"
     r"|(?P<cn>\d{17}[\dXx])"
     r"|(?P<dni>\d{8}-?[A-Z])"
@@ -42,19 +48,23 @@ _NUMBER = re.compile(
     r"|(?P<pass>[A-Z]\d{7,8})"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)"
     r"|(?P<card>\d{4}(?P<cs>[ -]?)\d{4}(?P=cs)\d{4}(?P=cs)\d{4})"
+    r"|(?P<amex>3[47]\d{2}(?P<as>[ -]?)\d{6}(?P=as)\d{5})"
+    r"|(?P<mobile>1[3-9]\d{9})"
+    r"|(?P<pass9>\d{9})"
     r")(?: ?(?:ext\.?|x) ?\d{1,6})?(?![\w]|[.:-]\d)"
 )
+_INNER = ("sep", "sp", "cs", "ps", "as")
 _DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
 _NAMES = r"[A-ZÀ-ÖØ-Þ][^\W\d_'’-]+(?:[ -][A-ZÀ-ÖØ-Þ][^\W\d_'’-]+)?"
 _ADDRESS = re.compile(
     rf"P\.? ?O\.? Box \d+(?:, {_NAMES} (?:St|Street|Rd|Road|Ave)\b\.?)?(?:, {_NAMES})?"
-    rf"|(?<![\w.:-])\d{{1,5}}[a-z]? {_NAMES} (?:Lane|Blvd|Boulevard|Street|St\.|Road|Rd\.?|Avenue|Ave\.?|Drive|Way|Court|Close|Terrace)(?=[\s,'\"<]|$)(?:, Apt\.? \d+)?(?:, {_NAMES})?(?:,? [A-Z]{{2}} \d{{5}}|,? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}})?"
+    rf"|(?<![\w.:-])\d{{1,5}}[A-Za-z]? {_NAMES} (?:Lane|Blvd|Boulevard|Street|St\.|Road|Rd\.?|Avenue|Ave\.?|Drive|Way|Court|Close|Terrace)(?=[\s,'\"<]|$)(?:, Apt\.? \d+)?(?:, {_NAMES})?(?:,? [A-Z]{{2}} \d{{5}}|,? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}})?"
     rf"|(?<![\w.:-])\d{{1,5}},? (?:rue|avenue|boulevard|place|chemin|quai|via|viale|piazza) (?:(?:de la|de l'|des|du|de|d') ?)?{_NAMES}(?:, \d{{5}} {_NAMES})?"
     rf"|(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Rr]ua|[Tt]ravessa) (?:(?:de la|del|de|da|do) )?{_NAMES},? \d{{1,5}}[a-z]?(?:, {_NAMES})?"
     rf"|(?<!\w){_NAMES}(?:stra(?:ß|ss)e|str\.|gasse|allee|platz|damm|ufer) \d{{1,5}}[a-z]?(?![/\w.:])(?:,? (?:in )?(?:\d{{5}} )?{_NAMES})?"
     rf"|(?<!\w){_NAMES} (?:Weg|Straße|Strasse|Allee|Platz|Gasse) \d{{1,5}}[a-z]?(?:, \d{{5}} {_NAMES})?"
 )
-_ADDRESS_CUES = ("box", "lane", "blvd", "boulevard", "street", "st.", "road", "rd", "ave", "drive", "way,", "court", "close,", "terrace", "rue ", "place ", "chemin", "quai", "via ", "piazza", "calle ", "plaza", "paseo", "rua ", "travessa", "straße", "strasse", "str.", "gasse", "allee", "platz", "damm ", "ufer ", " weg ")
+_ADDRESS_CUES = ("box", "lane", "blvd", "boulevard", "street", "st.", "road", "rd", "ave", "drive", "way", "court", "close", "terrace", "rue ", "avenue", "place ", "chemin", "quai", "via ", "viale", "piazza", "calle ", "plaza", "paseo", "rua ", "travessa", "straße", "strasse", "str.", "gasse", "allee", "platz", "damm ", "ufer ", " weg ")
 _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Mx|Herr|Frau|Sr|Sra|Mme|Dra)\.? )"
 _PART = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*\.?"
 _PERSON = rf"{_TITLE}?{_PART}(?:,? {_PART}){{1,3}}"
@@ -70,14 +80,18 @@ _CONTEXT = re.compile(
     r")"
 )
 _CONTEXT_CUES = ("todo(", "fixme(", "xxx(", "hack(", "name", "user", "assigned to", 'author', 'owner', 'contact', 'reporter', 'assignee', 'customer', "_name=", "committer", "-by:", "from:", "commit:", "this is", "my name", "on-call", "on call", "touched by", "deliver to", "ed by", "greetings", "regards", " von ", "herr ", "frau ", "attn", "c/o", "values")
-_PAIR = re.compile(r"(?<![\w.'’/-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: [A-Z]\.)? [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?![\w/.]\w)")
+_PAIR = re.compile(r"(?<![\w.'’/-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: [A-Z]\.)? [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: (?P<third>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+))?(?![\w/.]\w)")
+_SAYS = re.compile(r" (?:asked|says|said|wrote|writes|reported|reports|called|confirmed|noticed|replied|phoned|schrieb|fragte|meldete|sagte|a écrit|escribió|escreveu)\b")
+#: Names in Cyrillic letters by the endings of family names; in Han characters behind a word that introduces a person.
+_CYRILLIC_NAME = re.compile(r"(?<![\w-])(?P<n>[А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+)? [А-ЯЁ][а-яё]+(?:ов|ев|ёв|ин|ын|ова|ева|ёва|ина|ына|ский|ская|цкий|цкая|енко|чук|юк|ян))(?!\w)")
+_HAN_NAME = re.compile(r"(?:联系人|负责人|作者|我是|姓名|报告人|提交者|值班人)(?:是|为)?[:：]?\s*(?P<n>[\u4e00-\u9fff]{2,3})(?![\u4e00-\u9fff])")
 #: Words of machines, roles, places and calendars that are no parts of persons' names.
 _NOT_NAME = frozenset(
     "bot bots worker workers scheduler runner runners agent agents service services daemon queue queues pool pools manager system admin server client release nightly main build job jobs team group "
     "pipeline stage module error exception warning info debug trace fatal critical started finished failed passed skipped build building using executor uploading fetching archiving downloaded post run "
     "expected actual traceback caused file line test tests thread process step task node cluster host user owner author unknown none null true false the and for with from not was has "
     "jan feb mar apr may jun jul aug sep oct nov dec mon tue wed thu fri sat sun monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
-    "lane blvd boulevard street road avenue drive way court box apt weg straße strasse platz allee gasse rue calle github gitlab jenkins docker maven gradle actions".split()
+    "lane blvd boulevard street road avenue drive way court box apt weg straße strasse platz allee gasse rue calle framework studio kernel hat cloud core engine api sdk cli ide database linux windows ubuntu debian fedora spring visual google amazon azure apache eclipse oracle android swift again tonight today tomorrow yesterday github gitlab jenkins docker maven gradle actions".split()
 )
 #: Context words: (type, words that raise, words that lower). Fixed values.
 _RAISE = {
@@ -92,6 +106,9 @@ _LOWER = {
 }
 
 
+_PASSPORT = re.compile(r"(?i)passport|passeport|pasaporte|passaporte|reisepass|паспорт|护照")
+
+
 def luhn(s: str) -> bool:
     d = [int(c) for c in s if c.isdigit()][::-1]
     return bool(d) and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
@@ -128,6 +145,14 @@ def _judge_number(kind: str, s: str) -> tuple[str, float]:
         return "phone", 0.55
     if kind == "trunk":
         return "phone", 0.55 if 9 <= digits <= 12 else 0
+    if kind == "pairs":
+        return "phone", 0.55
+    if kind == "mobile":  # eleven bare digits: only beside a word of telephones
+        return "phone", 0.3
+    if kind == "pass9":  # nine bare digits: only beside a word of passports
+        return "id_number", 0.2
+    if kind == "amex":
+        return "card", 0.7 if luhn(s) else 0
     if kind == "ssn":
         return "id_number", 0.55 if s[4:6] != "00" and not s.endswith("0000") else 0
     if kind == "cn":
@@ -163,16 +188,23 @@ def line_spans(line: str) -> list[tuple[int, int, str]]:
         return all(b <= x or a >= y for x, y, _ in got)
 
     if "@" in line or "at]" in low or "(at)" in low or "%40" in low:
-        for m in _EMAIL.finditer(line):
-            local = re.split(r"@|\s?\[at\]|\s?\(at\)|%40", m[0])[0]
-            after = line[m.end() : m.end() + 2]
-            if _MACHINE.match(local) or (after[:1] == ":" and after[1:].strip()) or after[:1] == "/":
+        last = 0
+        for at in _SIGN.finditer(line):
+            local = _LOCAL.search(line, max(last, at.start() - LOCAL), at.start())
+            domain = _DOMAIN.match(line, at.end()) if local else None
+            if not domain:
                 continue
-            got.append((m.start(), m.end(), "email"))
+            last = domain.end()
+            after = line[last : last + 2]
+            if _MACHINE.match(local[0]) or (after[:1] == ":" and after[1:].strip()) or after[:1] == "/":
+                continue
+            got.append((local.start(), last, "email"))
     for m in _NUMBER.finditer(line):
-        kind, score = _judge_number(m.lastgroup if m.lastgroup not in ("sep", "sp", "cs") else next(k for k, v in m.groupdict().items() if v and k not in ("sep", "sp", "cs")), m[0])
+        kind, score = _judge_number(m.lastgroup if m.lastgroup not in _INNER else next(k for k, v in m.groupdict().items() if v and k not in _INNER), m[0])
         if not score or not free(m.start(), m.end()):
             continue
+        if m["pass9"] and not _PASSPORT.search(line[max(0, m.start() - NEAR) : m.start()]):
+            continue
         near = line[max(0, m.start() - NEAR) : m.start()] + " " + line[m.end() : m.end() + NEAR // 2]
         if kind in _RAISE and _RAISE[kind].search(near):
             score += 0.3
@@ -197,10 +229,19 @@ def line_spans(line: str) -> list[tuple[int, int, str]]:
             if is_person(s) and free(a, b):
                 got.append((a, b, "name"))
     for m in _PAIR.finditer(line):
-        if is_person(m[0]) and free(*m.span()):
-            before = line[: m.start()].rstrip()
-            if before and before[-1] not in ".!?":  # not two words that open a sentence
-                got.append((*m.span(), "name"))
+        a, b = m.span()
+        if m["third"] and not is_person(m[0]):
+            b = m.start("third") - 1
+        if is_person(line[a:b]) and free(a, b):
+            before = line[:a].rstrip()
+            # two words may open a sentence; a person who says or does something is none of these
+            if before and before[-1] not in ".!?" or _SAYS.match(line, b):
+                got.append((a, b, "name"))
+    if not line.isascii():
+        for pattern in (_CYRILLIC_NAME, _HAN_NAME):
+            for m in pattern.finditer(line):
+                if free(*m.span("n")):
+                    got.append((*m.span("n"), "name"))
     return sorted(got)
 
 
