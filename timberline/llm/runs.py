@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.templates import Templates
-from timberline.operators.entries import KEYED, _block, file_ends
+from timberline.operators.entries import KEYED, _block, file_ends, shuffles
 from timberline.session import cut
 
 LEAST = 3
@@ -231,7 +231,7 @@ def runs(lines: DataFrame, templates: Templates) -> DataFrame:
     """file_id, first_line, last_entry (first line of the last entry), last_line, n of each run of three or more."""
     found = cut(
         line_events(lines, templates)
-        .repartition("file_id", "block")
+        .repartition(shuffles(lines), "file_id", "block")
         .sortWithinPartitions("file_id", "block", "line_number")
         .select("file_id", "block", "line_number", "event")
         .mapInArrow(_search, EDGE),
