@@ -181,8 +181,11 @@ class Miner:
 
     shapes: dict[str, dict[Shape, list]] = field(default_factory=lambda: defaultdict(dict))
     roles: Counter = field(default_factory=Counter)
+    keys_only: bool = False  # stamps need no shapes
 
     def add(self, line: str) -> None:
+        if self.keys_only and (not line or line[0] != "{" and "=" not in line):
+            return
         o = opener(line)
         if o is None:
             return
@@ -191,6 +194,8 @@ class Miner:
             for k, v in pairs(line, kind):
                 self.roles[kind, k, value_type(v)] += 1
             return
+        if self.keys_only:
+            return
         s, texts = tokens(line, o[3])
         have = self.shapes[kind].get(s)
         if have is None:
@@ -300,6 +305,16 @@ class Templates:
             return fmt, stamp, letter or (LEVEL_OF[texts[lv].upper()] if lv >= 0 else ""), texts[comp] if comp >= 0 else "", at
         return None if fmt is None else (fmt, stamp, letter, "", end)
 
+    def stamp_of(self, line: str) -> tuple[str | None, str | None] | None:
+        """(format, stamp) as parse gives them; a stamp that opens a line needs no template."""
+        o = opener(line)
+        if o is None or o[0] == "level":
+            return None
+        if o[0] in ("json", "kv"):
+            p = self.parse(line)
+            return None if p is None else p[:2]
+        return o[0].lstrip("["), line[o[1] : o[2]]
+
     def message_of(self, line: str, kind: str | None = None) -> str:
         """The message value of a structured record: the first key whose role is message."""
         kind = kind or ("json" if line[:1] == "{" else "kv")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +32,8 @@ def text_lines(text: str) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in out]
 
 
-def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    m = Miner()
+def _mine(batches: Iterator[pa.RecordBatch], keys_only: bool = False) -> Iterator[pa.RecordBatch]:
+    m = Miner(keys_only=keys_only)
     for b in batches:
         for text in b.column(0).to_pylist():
             if text:
@@ -47,13 +47,13 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "what", "n", "texts"])
 
 
-def mine_templates(*columns: DataFrame) -> Templates:
+def mine_templates(*columns: DataFrame, keys_only: bool = False) -> Templates:
     """Templates of all texts in the first columns of the given frames. Each task clusters its entries by shape; Spark adds up
     the clusters of all tasks and finds their constant slots, so the result is the same however the rows are parted. The driver
     gets one row per distinct shape and per key whose values are levels, stamps or names; other keys are message keys. Null
     and empty texts count for nothing; with no entry at all the templates are empty and a line opens an entry only by a stamp of
-    its own."""
-    rows = reduce(DataFrame.unionAll, [c.mapInArrow(_mine, MINED) for c in columns])
+    its own. keys_only: only the keys of structured records, which is all that stamps need."""
+    rows = reduce(DataFrame.unionAll, [c.mapInArrow(partial(_mine, keys_only=keys_only), MINED) for c in columns])
     rows = cut(rows, "mined")
     shape = rows.where("kind not like '@%'")
     slot = shape.select("kind", "what", F.posexplode("texts").alias("i", "text")).groupBy("kind", "what", "i")
@@ -107,7 +107,7 @@ def text_instants(texts: DataFrame, templates: Templates) -> DataFrame:
     year gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse = templates.parse
+        stamp_of = templates.stamp_of
         for b in batches:
             key, no, us = [], [], []
             for k, text, tz, seen in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -115,7 +115,7 @@ def text_instants(texts: DataFrame, templates: Templates) -> DataFrame:
                     continue
                 at, seq = [], []
                 for i, line in enumerate(text_lines(text), 1):
-                    if line and (p := parse(line)) is not None and p[0] and (r := readings(p[0], p[1], tz, seen)):
+                    if line and (p := stamp_of(line)) is not None and p[0] and (r := readings(p[0], p[1], tz, seen)):
                         at.append(i)
                         seq.append(r)
                 for i, t in zip(at, decode(seq) if seq else ()):
@@ -159,6 +159,27 @@ def line_heads(lines: DataFrame, templates: Templates) -> DataFrame:
     return out.withColumn("block", _block())
 
 
+def _line_stamps(lines: DataFrame, templates: Templates) -> DataFrame:
+    """The lines that open an entry with a stamp: file_id, block, line_number, old_us, fmt, stamp. Map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stamp_of = templates.stamp_of
+        for b in batches:
+            found = [(i, *p) for i, line in enumerate(b.column(3).to_pylist()) if line and (p := stamp_of(line)) is not None and p[0]]
+            if found:
+                keep, fmt, stamp = zip(*found)
+                t = b.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(3)), pa.array(fmt), pa.array(stamp)], names=["file_id", "line_number", "old_us", "fmt", "stamp"])
+
+    out = lines.where(KEYED).select("file_id", "line_number", "timestamp_us", "message_preview")
+    return out.mapInArrow(run, "file_id bigint, line_number int, old_us bigint, fmt string, stamp string").withColumn("block", _block())
+
+
+def shuffles(df: DataFrame) -> int:
+    """Partitions of a shuffle before Python: named, so that they are not merged by size while work per row is high."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def file_ends(lines: DataFrame) -> DataFrame:
     """file_id, last_line; reads two columns."""
     return lines.where(KEYED).groupBy("file_id").agg(F.max("line_number").alias("last_line"))
@@ -189,7 +210,7 @@ def line_instants(lines: DataFrame, files: DataFrame, zones: DataFrame, template
     The readings are decoded in line order per (file, block), under each order of numeric dates that the block leaves open.
     What depends on other blocks, the stamps before the first and after the last one with a single open reading and the orders
     themselves, is decided per file from one row a block, so the result does not depend on the size of blocks."""
-    heads = line_heads(lines, templates).where(F.col("fmt").isNotNull()).select("file_id", "block", "line_number", "old_us", "fmt", "stamp")
+    heads = _line_stamps(lines, templates)
     spread = (
         lines.where(KEYED)
         .groupBy("file_id")
@@ -201,7 +222,7 @@ def line_instants(lines: DataFrame, files: DataFrame, zones: DataFrame, template
 
     blocks = (
         heads.join(spread, ["file_id", "block"])
-        .repartition("file_id", "block")
+        .repartition(shuffles(lines), "file_id", "block")
         .sortWithinPartitions("file_id", "block", "line_number")
         .select("file_id", "block", "line_number", "old_us", "fmt", "stamp", "seen_us", "time_zone")
         .mapInArrow(_decode_blocks, DECODED)
@@ -298,8 +319,8 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return table(spark, sf_dir, "log_record"), table(spark, sf_dir, "line_index"), table(spark, sf_dir, "log_source")
 
 
-def project_templates(records: DataFrame, lines: DataFrame) -> Templates:
-    return mine_templates(records.select("content"), lines.select("message_preview"))
+def project_templates(records: DataFrame, lines: DataFrame, **options: bool) -> Templates:
+    return mine_templates(records.select("content"), lines.select("message_preview"), **options)
 
 
 def _us(c: str):
@@ -309,7 +330,7 @@ def _us(c: str):
 def found_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p4_found: the instant of each stamped entry of log_record, and of each of line_index that differs from the stored one."""
     records, lines, sources = _records(spark, sf_dir)
-    t = project_templates(records, lines)
+    t = project_templates(records, lines, keys_only=True)
     zones = sources.select("source_file", "time_zone").dropDuplicates(["source_file"])
     texts = (
         records.select(F.col("id").alias("key"), F.col("content").alias("text"), _us("received_at").alias("seen_us"), F.col("metadata")["source_file"].alias("source_file"))
