@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.streaming import pipeline as P
+from timberline.streaming import tail_source
 from timberline.streaming.tail_source import TailReader, TailSource, resume
 
 
@@ -17,26 +18,54 @@ def test_resume_rule():
     assert resume(None, 1, 2, 100, 0) == 0
 
 
+def batch(r, start):
+    end = r.latestOffset()
+    return [x for p in r.partitions(start, end) for x in r.read(p)], end
+
+
 def test_reader_follows_growth_rotation_truncation(tmp_path):
     p = tmp_path / "a.log"
     p.write_text("one\ntwo\nhal")
     r = TailReader({"path": str(tmp_path / "*.log")})
-    rows, at = r.read({})
+    rows, at = batch(r, {})
     assert [x[2] for x in rows] == ["one", "two"]
     with open(p, "a") as f:
         f.write("f\nthree\n")
-    rows, at2 = r.read(at)
+    rows, at2 = batch(r, at)
     assert [x[2] for x in rows] == ["half", "three"]
-    assert [x[2] for x in r.readBetweenOffsets(at, at2)] == ["half", "three"]
+    assert [x[2] for q in r.partitions(at, at2) for x in r.read(q)] == ["half", "three"]  # again
     os.rename(p, tmp_path / "a.log.1")
     p.write_text("new\n")
-    rows, at3 = r.read(at2)
+    rows, at3 = batch(r, at2)
     assert [x[2] for x in rows] == ["new"]
     p.write_text("")
-    rows, at4 = r.read(at3)
-    assert list(rows) == []
+    rows, at4 = batch(r, at3)
+    assert rows == []
     p.write_text("again\n")
-    assert [x[2] for x in r.read(at4)[0]] == ["again"]
+    assert [x[2] for x in batch(r, at4)[0]] == ["again"]
+    # another reader goes on from the checkpoint
+    _, at5 = batch(r, at4)
+    with open(p, "a") as f:
+        f.write("more\n")
+    assert [x[2] for x in batch(TailReader({"path": str(tmp_path / "*.log"), "startoffset": "-1"}), at5)[0]] == ["more"]
+
+
+def test_long_lines_and_splits(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail_source, "SPLIT_BYTES", 10)
+    monkeypatch.setattr(tail_source, "STEP", 4)
+    p = tmp_path / "a.log"
+    want = ["x" * 95, "", "short", "y" * 9, "z" * 10, "end"]
+    p.write_text("\n".join(want) + "\nrest")
+    r = TailReader({"path": str(p)})
+    rows, at = batch(r, {})
+    assert [x[2] for x in rows] == want
+    assert batch(r, at)[0] == []
+    late = TailReader({"path": str(p), "startoffset": "-1"})
+    rows, at = batch(late, {})
+    assert rows == []
+    with open(p, "a") as f:
+        f.write(" of it\n")
+    assert [x[2] for x in batch(late, at)[0]] == ["rest of it"]
 
 
 def test_tail_stream(spark, tmp_path):

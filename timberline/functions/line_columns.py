@@ -149,11 +149,14 @@ def cache_text(c: Column) -> Column:
     return F.lower(strip(rewrite(c, P.CACHE_REWRITES)))
 
 
-def redact(line: Column, custom: list[tuple[str, str, str]] | None = None, full: bool = False) -> Column:
+def secret_rules() -> list[tuple[str, str, str]]:
+    """The full chain: short IPv6 addresses after full ones."""
+    return [*P.SECRET_RULES[:7], P.SECRET_IPV6_SHORT, *P.SECRET_RULES[7:]]
+
+
+def redact(line: Column, custom: list[tuple[str, str, str]] | None = None) -> Column:
     """Default rules behind the sign that a line may hold a secret, then custom rules on every line."""
-    rules = [(p, r) for _, p, r in P.SECRET_RULES]
-    if full:
-        rules.insert(7, P.SECRET_IPV6_SHORT[1:])
+    rules = [(p, r) for _, p, r in secret_rules()]
     out = F.when(line.rlike(P.SECRET_SIGN), rewrite(line, rules)).otherwise(line)
     return rewrite(out, [(p, r) for _, p, r in custom]) if custom else out
 
@@ -164,6 +167,33 @@ def trigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))).when(c == "", F.array().cast("array<string>")).otherwise(F.array(c))
 
 
+def shingles(c: Column, long: int = 5000, letters: int = 2000) -> Column:
+    """Trigrams of letters below `long` letters; of longer texts the trigrams of words, with those of the first
+    `letters` letters beside them, as the fingerprint is defined."""
+    w = F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    three = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(c) < long, trigrams(c)).otherwise(F.array_distinct(F.concat(three, trigrams(F.left(c, F.lit(letters))))))
+
+
+def timeline_us(line: Column, default_year: int = 2024) -> Column:
+    """Microseconds of the leftmost stamp of the timeline's forms, in whole seconds and without zone; null where there is none
+    or the leftmost one is no date."""
+    s = F.regexp_extract(line, P.TIMELINE_STAMP, 1)
+    sec = lambda text, fmt: F.unix_seconds(F.try_to_timestamp(text, F.lit(fmt)))
+    iso = sec(F.regexp_replace(F.substring(s, 1, 19), "T", " "), "yyyy-MM-dd HH:mm:ss")
+    slash = sec(F.regexp_replace(s, r"\s+", " "), "yyyy/MM/dd HH:mm:ss")
+    month = F.initcap(F.substring(s, 1, 3))
+    syslog = sec(F.concat(F.lit(f"{default_year} "), month, F.lit(" "), F.regexp_replace(F.substring(s, 4, 100), r"^\s+", "").substr(F.lit(1), F.lit(100))), "yyyy MMM d HH:mm:ss")
+    unix = s.try_cast("bigint")
+    out = (
+        F.when(s.rlike(r"^\d{4}-"), iso)
+        .when(s.rlike(r"^\d{4}/"), slash)
+        .when(s.rlike(r"^\d+$"), F.when(unix > 1_000_000_000_000, F.floor(unix / 1000)).otherwise(unix))
+        .when(s != "", syslog)
+    )
+    return out.cast("bigint") * 1_000_000
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; two empty ones are equal."""
     common = F.size(F.array_intersect(a, b))

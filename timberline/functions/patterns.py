@@ -181,3 +181,53 @@ INJECTIONS = [
     ("env_dump", r"(?i)(printenv|env\s*$|set\s*$|export\s*-p)"),
 ]
 TRIPWIRES = ["system override", "ignore all previous", "ignore previous", "ignore prior", "developer mode", "system prompt", "bypass", "unrestricted", "unfiltered", "malicious", "hacker", "do anything now", "jailbreak", "your instructions", "your directives", "system instruction", "system directive", "api_key", "printenv", "rm -rf", "| bash", "|bash", "| sh", "|sh", "cdata["]
+
+# Severity of the patterns above; those not named are low.
+INJECTION_SEVERITY = {
+    "high": ["system_override_marker", "ignore_previous_instructions", "developer_mode", "new_system_prompt", "output_system_prompt", "override_role", "jailbreak", "bypass_content_filter", "rm_rf_command", "fork_bomb", "dd_overwrite"],
+    "medium": ["xml_cdata_wrap", "xml_instruction_override", "json_instruction_block", "markdown_system_section", "env_var_leak", "env_dump", "curl_pipe_bash"],
+}
+
+# Commands that must not be run, and those that a person must see first.
+COMMANDS_BLOCKED = [
+    r"(?i)rm\s+(-[a-zA-Z]*\s+)*--no-preserve-root\s+/",
+    r"(?i)rm\s+(-[a-zA-Z]*f[a-zA-Z]*|-[a-zA-Z]*r[a-zA-Z]*f[a-zA-Z]*)\s+/",
+    r"(?i)rm\s+-rf\s+/",
+    r"(?i)mkfs\.\w+\s+/dev/\w+",
+    r"(?i)dd\s+if=/dev/(zero|urandom|random)\s+of=/dev/\w+",
+    r"(?i)curl\s+[^|]*\|\s*(ba)?sh",
+    r"(?i)wget\s+[^|]*\|\s*(ba)?sh",
+    r"(?i)curl\s+[^|]*\|\s*python[23]?",
+    r"(?i):\(\)\{.*\}",
+    r"(?i)chmod\s+-R\s+777\s+/",
+    r"(?i)>\s*/dev/sd[a-z]",
+    r"(?i)mv\s+/\s+",
+    r"(?i)sudo\s+rm\b",
+]
+COMMANDS_REVIEWED = [r"(?i)\bsudo\b", r"(?i)docker\s+system\s+prune", r"(?i)kill\s+-9\b", r"(?i)docker\s+rm\s+-f", r"(?i)kubectl\s+delete\b", r"(?i)git\s+push\s+--force"]
+
+# Fixed values: (pattern, level, category) of commands; the first that is found counts.
+COMMAND_CLASSES = [
+    (r"(?i)rm\s+(-[a-zA-Z]*\s+)*--no-preserve-root\s+/", "dangerous", "destructive"),
+    (r"(?i)rm\s+(-[a-zA-Z]*f[a-zA-Z]*|-[a-zA-Z]*r[a-zA-Z]*f[a-zA-Z]*)\s+/", "dangerous", "destructive"),
+    (r"(?i)rm\s+-rf\s+/", "dangerous", "destructive"),
+    (r"(?i)mkfs\.\w+\s+/dev/\w+", "dangerous", "destructive"),
+    (r"(?i)dd\s+if=/dev/(zero|urandom|random)\s+of=/dev/\w+", "dangerous", "destructive"),
+    (r"(?i):\(\)\{.*\}", "dangerous", "destructive"),
+    (r"(?i)>\s*/dev/sd[a-z]", "dangerous", "destructive"),
+    (r"(?i)mv\s+/\s+", "dangerous", "destructive"),
+    (r"(?i)rm\s+-rf\s+/\*", "dangerous", "destructive"),
+    (r"(?i)curl\s+[^\|]*\|\s*(ba)?sh", "dangerous", "supply_chain"),
+    (r"(?i)wget\s+[^\|]*\|\s*(ba)?sh", "dangerous", "supply_chain"),
+    (r"(?i)chmod\s+-R\s+777\s+/", "dangerous", "privilege_escalation"),
+    (r"(?i)nc\s+.*-e\s+/bin/", "dangerous", "data_exfiltration"),
+    (r"(?i)cat\s+/etc/(shadow|passwd)", "review", "data_exfiltration"),
+    (r"(?i)curl\s+.*\s+--data.*(/etc/|/root/|/home/)", "review", "data_exfiltration"),
+]
+COMMAND_SUDO = r"(?i)^sudo\s+"
+COMMAND_SYSTEM_WRITE = r"(?i)(tee|cp|mv|chmod|chown|mkdir|touch|rm)\s+[^|;]*\s+(/etc/|/usr/|/bin/|/sbin/)"
+
+# Marks of text left out, and stamps of the timeline, leftmost first.
+OMITTED_TEXT = "\n\n... [日志过长，中间部分已省略] ...\n\n"
+OMITTED_LINES = ("\n\n... [省略了 ", " 行] ...\n\n")
+TIMELINE_STAMP = r"(?i)(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}|\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2}|\b1[3-9]\d{8}\d{1,3}\b)"

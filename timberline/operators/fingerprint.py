@@ -26,13 +26,36 @@ def audit(lines: DataFrame) -> DataFrame:
     """Matches per rule, counted on the text as it stands when the rule's turn comes."""
     c = F.col("line")
     out = []
-    for name, pattern, to in P.SECRET_RULES:
+    for name, pattern, to in L.secret_rules():
         out.append(F.struct(F.lit(name).alias("rule"), F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).alias("n")))
         c = F.regexp_replace(c, pattern, to)
     hit = lines.where(F.col("line").rlike(P.SECRET_SIGN)).select(F.explode(F.array(*out)).alias("x"))
     return hit.where("x.n > 0").groupBy(F.col("x.rule").alias("rule")).agg(F.sum("x.n").alias("n"))
 
 
+def secret_rows(lines: DataFrame) -> DataFrame:
+    """doc_id, pos, rule, place (of the match in the line as it stands when the rule's turn comes, from 0), hash of the match's
+    first eight letters. The match itself is not kept."""
+    def letters(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+
+    def rows(name: str, c: Column, pattern: str) -> Column:
+        found, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+
+        def one(m: Column, i: Column) -> Column:
+            at = letters(F.slice(between, F.lit(1), i + 1)) + letters(F.slice(found, F.lit(1), i))
+            return F.struct(F.lit(name).alias("rule"), at.alias("place"), F.sha2(F.left(m, F.lit(8)), 256).alias("hash"))
+
+        return F.transform(found, one)
+
+    c, out = F.col("line"), []
+    for name, pattern, to in L.secret_rules():
+        out.append(rows(name, c, pattern))
+        c = F.regexp_replace(c, pattern, to)
+    hit = lines.where(F.col("line").rlike(P.SECRET_SIGN))
+    return hit.select("doc_id", "pos", F.explode(F.concat(*out)).alias("x")).select("doc_id", "pos", "x.*")
+
+
 def redacted_lines(lines: DataFrame) -> DataFrame:
     """X11 on each line."""
     return lines.select("doc_id", "pos", L.redact(F.col("line")).alias("line"))
@@ -42,7 +65,7 @@ def redacted_records(records: DataFrame) -> DataFrame:
     """Content line by line, each error line, string metadata values."""
 
     def each(text: Column) -> Column:
-        return F.array_join(F.transform(F.split(text, "\n", -1), lambda s: L.redact(s, full=True)), "\n")
+        return F.array_join(F.transform(F.split(text, "\n", -1), lambda s: L.redact(s)), "\n")
 
     return records.withColumns(
         {
@@ -69,6 +92,14 @@ def sanitized(texts: DataFrame, key: str, text: str, longest_line: int = 2000) -
     return texts.select(key, F.when(gate, cut).otherwise(c).alias("cleaned"), F.when(gate, found).otherwise(F.slice(found, 1, 0)).alias("attempts"), (gate & (cut != c)).alias("was_modified"))
 
 
+def attempt_rows(clean: DataFrame, key: str) -> DataFrame:
+    """Key, name, severity, n of the orders found in a text. clean: as sanitized gives it."""
+    by = {n: k for k, names in P.INJECTION_SEVERITY.items() for n in names}
+    severity = F.create_map(*(F.lit(x) for p in by.items() for x in p))
+    x = clean.select(key, F.explode("attempts").alias("a")).select(key, "a.*")
+    return x.select(key, "name", F.coalesce(severity[F.col("name")], F.lit("low")).alias("severity"), F.col("n").cast("bigint").alias("n"))
+
+
 def strip_markup(c: Column, passes: int = 5) -> Column:
     """Tags out and five entities read, to a fixpoint within five passes."""
     for _ in range(passes):

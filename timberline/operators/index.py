@@ -17,7 +17,7 @@ from timberline.sources.files import _plain, numbered, read_lines
 
 VERSION = "1"
 HEAD_TAIL = 4096
-LINES = "path string, line_number int, byte_offset bigint, line_length int, timestamp_us bigint, level string, message_preview string"
+LINES = "path string, line_number bigint, byte_offset bigint, line_length int, timestamp_us bigint, level string, message_preview string"
 MANIFEST = "source_file string, source_size bigint, mtime timestamp, fingerprint string, parser_version string, total_lines bigint, stamped bigint, min_us bigint, max_us bigint, levels map<string,bigint>, created_at timestamp"
 
 

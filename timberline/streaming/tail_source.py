@@ -1,7 +1,8 @@
 """A streaming source that follows growing files across rotation, truncation and replacement.
 
-The offset is {path: {dev, ino, off}} and lives in the query's checkpoint. Only whole lines are delivered; the bytes after
-the last line feed wait. Resume rule: the same path and identity with an offset not beyond the size goes on, else from 0."""
+The offset is {path: {dev, ino, off}} and lives in the query's checkpoint. Only whole lines are delivered, of any length; the
+bytes after the last line feed wait. The driver only looks for the last line feed of each file; new bytes are read by tasks, SPLIT_BYTES
+each. Resume rule: the same path and identity with an offset not beyond the size goes on, else from 0."""
 
 from __future__ import annotations
 
@@ -9,10 +10,11 @@ import glob
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, byte_offset bigint, text string"
-MAX_BYTES = 64 << 20
+STEP = 1 << 20
+SPLIT_BYTES = 64 << 20
 
 
 def resume(entry: dict | None, dev: int, ino: int, size: int, start: int) -> int:
@@ -25,14 +27,18 @@ def resume(entry: dict | None, dev: int, ino: int, size: int, start: int) -> int
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, opens: bool = True):
+        self.path, self.start, self.end, self.opens = path, start, end, opens
 
 
-def lines_of(path: str, start: int, end: int) -> Iterator[tuple[str, int, str]]:
+def lines_of(path: str, start: int, end: int, opens: bool = True) -> Iterator[tuple[str, int, str]]:
+    """The whole lines that begin in [start, end). opens: a line begins at start."""
     with open(path, "rb") as f:
-        f.seek(start)
         pos = start
+        if not opens:
+            f.seek(start - 1)
+            pos = start - 1 + len(f.readline())
+        f.seek(pos)
         while pos < end:
             raw = f.readline()
             if not raw.endswith(b"\n"):
@@ -41,7 +47,21 @@ def lines_of(path: str, start: int, end: int) -> Iterator[tuple[str, int, str]]:
             pos += len(raw)
 
 
-class TailReader(SimpleDataSourceStreamReader):
+def whole_lines(path: str, size: int) -> int:
+    """The offset after the last line feed, 0 if there is none; reads backwards from the end."""
+    with open(path, "rb") as f:
+        hi = size
+        while hi > 0:
+            lo = max(0, hi - STEP)
+            f.seek(lo)
+            at = f.read(hi - lo).rfind(b"\n")
+            if at >= 0:
+                return lo + at + 1
+            hi = lo
+    return 0
+
+
+class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.patterns = options["path"].split(",")
         self.first = int(options.get("startoffset", "0"))
@@ -52,31 +72,28 @@ class TailReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now, rows = dict(start), []
+    def latestOffset(self) -> dict:
+        now = {}
         for p in self._files():
             try:
                 st = os.stat(p)
-                at = resume(start.get(p), st.st_dev, st.st_ino, st.st_size, self.first)
-                end = at
-                for r in lines_of(p, at, min(st.st_size, at + MAX_BYTES)):
-                    rows.append(r)
-                with open(p, "rb") as f:  # the end of the last whole line
-                    f.seek(at)
-                    chunk = f.read(min(st.st_size, at + MAX_BYTES) - at)
-                    end = at + chunk.rfind(b"\n") + 1
+                now[p] = {"dev": st.st_dev, "ino": st.st_ino, "off": whole_lines(p, st.st_size)}
             except FileNotFoundError:  # gone between listing and reading; the next batch sees its successor
                 continue
-            now[p] = {"dev": st.st_dev, "ino": st.st_ino, "off": end}
-        rows = [r for r in rows if r[1] < now[r[0]]["off"]]
-        return iter(rows), now
+        return now
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
         for p, e in end.items():
-            s = start.get(p)
-            a = s["off"] if s and (s["dev"], s["ino"]) == (e["dev"], e["ino"]) and s["off"] <= e["off"] else 0
+            # only files that are there at the very start may be followed from their end
+            a = resume(start.get(p), e["dev"], e["ino"], e["off"], 0 if start else self.first)
             if os.path.exists(p):
-                yield from lines_of(p, a, e["off"])
+                out += [Range(p, k, min(k + SPLIT_BYTES, e["off"]), k == a) for k in range(a, e["off"], SPLIT_BYTES)]
+        return out or [Range("", 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[tuple[str, int, str]]:
+        if partition.path:
+            yield from lines_of(partition.path, partition.start, partition.end, partition.opens)
 
     def commit(self, end: dict) -> None:
         pass
@@ -92,5 +109,5 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> TailReader:
+    def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
