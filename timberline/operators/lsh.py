@@ -34,10 +34,20 @@ class MinHash:
         return np.ascontiguousarray(sig.T)
 
 
+def shared_keys(df: DataFrame, key: str, tile: int = TILE) -> DataFrame:
+    """The rows of keys that more than one item has, with `tiles`, the number of tiles of the key."""
+    n = df.withColumn("n", F.count("*").over(Window.partitionBy(key))).where("n > 1")
+    return n.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+
+
+def tile_sides(shared: DataFrame, key: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join on (key, tile) that meets each two items of a key once, from shared_keys."""
+    left = shared.select(key, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("tiles")).cast("int").alias("tile"))
+    right = shared.select(key, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    return left, right
+
+
 def tiles(df: DataFrame, key: str, item: str, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Two sides of a join on (key, tile) that meets each two items of a key once. Keys of one item are dropped; the
     items of a key of n lie in ceil(n / tile) tiles, one side copied to each."""
-    n = df.withColumn("n", F.count("*").over(Window.partitionBy(key))).where("n > 1").withColumn("t", F.ceil(F.col("n") / tile).cast("int"))
-    left = n.select(key, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("t")).cast("int").alias("tile"))
-    right = n.select(key, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("tile"))
-    return left, right
+    return tile_sides(shared_keys(df, key, tile), key, item)
