@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -53,6 +56,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` writes inside are removed at its end: for sessions that run many queries. What reads them must
+    have been written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _drop(spark, path)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write df as a compressed table into the shared folder and read it back.
 
@@ -62,4 +80,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
+    for kept in _scopes:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: So many repeated keys at most are sent to all tasks; beyond, the rows are shuffled.
+REPEATED = 500_000
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, where rows of a key are equal in all columns. Only the keys are shuffled, and the rows of those that
+    occur again, which are few where deliveries repeat; with more than REPEATED of them all rows are. Null is a key."""
+    again = cut(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__k")), "repeated")
+    n = again.count()
+    if n == 0:
+        return df
+    if n > REPEATED:
+        return df.dropDuplicates([key])
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    single = df.join(F.broadcast(again), same, "left_anti")
+    return single.unionAll(df.join(F.broadcast(again), same, "left_semi").dropDuplicates([key]))
