@@ -48,6 +48,7 @@ CHAINS: tuple[tuple[str, ...], ...] = (
 )
 _OTHER_SCRIPT = {"cp1251", "koi8-r", "cp866", "gbk", "big5"}  # their words are written in letters above 127 throughout
 _STRICT = np.array([False, *(c[0] != "utf-8" and c not in _LOSSY for c in CHAINS)])
+_PARTS = np.where(_STRICT, 3.0, 1.0)
 CLASSES = ("clean", *(">".join(c) for c in CHAINS))
 
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?…。！？；;:]+(?=\s)|[。！？]|$)", re.M)
@@ -164,29 +165,41 @@ class Model:
 
     def __post_init__(self):
         self.cache: dict[str, np.ndarray] = {}
+        self.tops: dict[str, float] = {}
 
     def score(self, word: str) -> np.ndarray:
         s = self.cache.get(word)
         if s is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
+                self.tops.clear()
             s = self.cache[word] = self.logp[_hashed(word.encode("utf-8"))].sum(axis=0)
         return s
 
+    def top(self, word: str) -> float:
+        """At most so much a word adds to the total of any chain."""
+        t = self.tops.get(word)
+        if t is None:
+            s = self.score(word)
+            t = self.tops[word] = max(0.0, float(((s - s[0]) / _PARTS)[1:].max()))
+        return t
+
     def judge(self, sentence: str) -> tuple[str, str | None] | None:
         """(chain, restored sentence or None) of a garbled sentence, None of a clean one."""
         spans = odd_words(sentence)
         if not spans:
             return None
         words = [sentence[a:b] for a, b in spans]
-        each = np.stack([self.score(w) for w in words])
         lost = any(LOST in w for w in words)
+        if not lost and sum(map(self.top, words)) < MARGIN:
+            return None  # no chain can reach the margin
+        each = np.stack([self.score(w) for w in words])
         gain = each - each[:, :1]
         # UTF-8 read wrongly is unmistakable, so words that read better as clean do not speak against it (a sentence may be
         # garbled in part); letters of one single-byte encoding read as another's are mere letters, so a stretch of words
         # must speak as a whole
         runs, at, size = _best_stretch(gain)
-        total = np.where(_STRICT, runs / 3, np.maximum(gain, 0).sum(axis=0))
+        total = np.where(_STRICT, runs / _PARTS, np.maximum(gain, 0).sum(axis=0))
         order = np.argsort(-total, kind="stable")
         for k in order:
             if total[k] < MARGIN or k == 0:
