@@ -117,3 +117,16 @@ def test_limits_keep_state_between_batches(spark, tmp_path):
             for _, i, t in sorted((r for r in rows if r[0] == key), key=lambda r: r[2]):
                 want[i] = state.admit(t)
         assert got == want
+
+
+def test_policies_of_a_row_step(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+
+    def step(r):
+        return {**r, "v": r["v"].upper()}
+
+    assert [r["v"] for r in P.each_row(df, step, "retry").orderBy("k").collect()] == ["A", None]
+    with pytest.raises(Exception):
+        P.each_row(df, step, "abort").collect()
+    with pytest.raises(ValueError):
+        P.each_row(df, step, "other")

@@ -795,6 +795,20 @@ def monthly_cost(spark, d):
     return _meta(spark, d).groupBy(m.alias("month"), "model_used").agg(F.count("*").alias("calls"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("decimal(38,6)").alias("cost"))
 
 
+@query(f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, served_at AT TIME ZONE 'UTC')) AS start_us, count(*) FILTER (cache_status = 'hit') AS hits, count(*) AS n FROM {META} WHERE served_at IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (cache_status = 'hit') < 0.5 * count(*)")
+def alert_hit_ratio(spark, d):
+    """T11."""
+    r = pipeline.hit_ratio(_meta(spark, d), "served_at", F.col("cache_status") == "hit")
+    return r.select(F.unix_micros("start").alias("start_us"), "hits", "n")
+
+
+@query(f"SELECT epoch_us(CAST(CAST(served_at AT TIME ZONE 'UTC' AS DATE) AS TIMESTAMP)) AS start_us, sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) AS cost FROM {META} WHERE served_at IS NOT NULL GROUP BY 1 HAVING sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) > 1")
+def alert_cost(spark, d):
+    """T11."""
+    r = pipeline.costly_days(_meta(spark, d), "served_at", "cost_usd", 1.0)
+    return r.select(F.unix_micros("start").alias("start_us"), F.col("cost").cast("decimal(38,6)").alias("cost"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -53,19 +53,27 @@ def split_valid(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(good), df.where(~good)
 
 
-def each_row(df: DataFrame, fn: Callable[[dict], dict]) -> DataFrame:
-    """Python per row in Arrow batches; a row whose step fails goes on as it was."""
+def each_row(df: DataFrame, fn: Callable[[dict], dict], policy: str = "skip", tries: int = 3) -> DataFrame:
+    """Python per row in Arrow batches. A row whose step fails goes on as it was (skip), is tried up to `tries` times
+    first (retry), or ends the query (abort)."""
     import pandas as pd
 
+    if policy not in ("skip", "retry", "abort"):
+        raise ValueError(f"unknown policy {policy}")
+    times = tries if policy == "retry" else 1
+
+    def one(r: dict) -> dict:
+        for k in range(times):
+            try:
+                return fn(dict(r))
+            except Exception:
+                if policy == "abort":
+                    raise
+        return r
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = []
-            for r in p.to_dict("records"):
-                try:
-                    out.append(fn(dict(r)))
-                except Exception:
-                    out.append(r)
-            yield pd.DataFrame(out, columns=p.columns)
+            yield pd.DataFrame([one(r) for r in p.to_dict("records")], columns=p.columns)
 
     return df.mapInPandas(run, df.schema)
 
@@ -106,3 +114,17 @@ def error_rate(lines: DataFrame, us: str, minutes: int = 5, most: float = 10.0,
     by the watermark, which bounds the state."""
     t = lines.where(f"{us} > 0 and level in ('ERROR','CRITICAL','FATAL')").withColumn("at", F.timestamp_micros(us)).withWatermark("at", late)
     return t.groupBy(F.window("at", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("w.start").alias("start"), "n")
+
+
+def hit_ratio(calls: DataFrame, at: str, hit: Column, minutes: int = 60, least: float = 0.5, late: str = "1 day") -> DataFrame:
+    """Windows of `minutes` in which fewer than `least` of the calls were hits; a null condition is no hit."""
+    t = calls.withWatermark(at, late) if calls.isStreaming else calls
+    g = t.groupBy(F.window(at, f"{minutes} minutes").alias("w")).agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"), F.count("*").alias("n"))
+    return g.where(F.col("hits") < least * F.col("n")).select(F.col("w.start").alias("start"), "hits", "n")
+
+
+def costly_days(calls: DataFrame, at: str, cost: str, most: float, late: str = "1 day") -> DataFrame:
+    """Days whose calls cost more than `most`; the limit is the caller's."""
+    t = calls.withWatermark(at, late) if calls.isStreaming else calls
+    c = F.sum(F.coalesce(F.col(cost).cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")))
+    return t.groupBy(F.window(at, "1 day").alias("w")).agg(c.alias("cost")).where(F.col("cost") > most).select(F.col("w.start").alias("start"), "cost")
