@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import bpe, clusters, leaks, mojibake, near_dup, pii, qdigest, runs
 from timberline.operators import entries
-from timberline.session import cut, table
+from timberline.session import cut, once, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PERCENTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -88,9 +88,9 @@ def p7_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = table(spark, sf_dir, "analyze_response_meta").select("request_no", "model_used", "platform_detected", "duration_ms", "cost_usd", "served_at").dropDuplicates(["request_no"])
+    rows = table(spark, sf_dir, "analyze_response_meta").select("request_no", "model_used", "platform_detected", "duration_ms", "cost_usd", "served_at").dropDuplicates(["request_no"])
     metrics = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("duration_ms", "cost_usd")))).alias("m")
-    long = once.select("model_used", "platform_detected", F.to_date("served_at").alias("day"), metrics).select("model_used", "platform_detected", "day", "m.metric", "m.value")
+    long = rows.select("model_used", "platform_detected", F.to_date("served_at").alias("day"), metrics).select("model_used", "platform_detected", "day", "m.metric", "m.value")
     return qdigest.digests(long, ["model_used", "platform_detected", "metric", "day"], "value", EPS)
 
 
@@ -106,7 +106,7 @@ def p1_daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, TOKENIZER).dropDuplicates(["doc_id"])
+    return bpe.encode(once(docs, "doc_id"), TOKENIZER)
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,10 +157,14 @@ _FAILED = "SELECT DISTINCT 'analysis_log' AS tab, id, error_fingerprint AS text
 
 
 def oracle_sql() -> dict[str, str]:
-    """p3: all pairs over shared words. p6: any two rows of one failure are similar, so the next row of a cluster is the
+    """p3: all pairs over shared words; of the groups, equal word sets and the number of pairs. p6: any two rows of one failure are similar, so the next row of a cluster is the
     least later id that is."""
     asked = "SELECT DISTINCT 'analyze_request' AS tab, request_no AS id, log_text AS text FROM analyze_request WHERE log_text IS NOT NULL"
     return {
         "p3_found": _shared_words(f"{asked} UNION ALL {_FAILED}") + "SELECT tab AS record_table, id_a, id_b FROM s WHERE similarity >= 0.7 - 1e-9",
+        "p3_groups": _shared_words(f"{asked} UNION ALL {_FAILED}")
+        + ", g AS (SELECT tab, id, string_agg(w, ' ' ORDER BY w) AS words FROM f GROUP BY ALL), c AS (SELECT tab, id, min(id) OVER (PARTITION BY tab, words) AS class_id FROM g),"
+        " l AS (SELECT tab, id_a AS id FROM s WHERE similarity >= 0.7 - 1e-9 UNION ALL SELECT tab, id_b FROM s WHERE similarity >= 0.7 - 1e-9), k AS (SELECT tab, id, count(*) AS n_links FROM l GROUP BY ALL)"
+        " SELECT c.tab AS record_table, c.id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN k ON c.tab = k.tab AND c.id = k.id",
         "p6_found": _shared_words(_FAILED) + "SELECT id_a, min(id_b) AS id_b FROM s WHERE similarity >= 0.317 GROUP BY id_a",
     }
