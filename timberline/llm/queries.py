@@ -88,7 +88,7 @@ def p7_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "analyze_response_meta").select("request_no", "model_used", "platform_detected", "duration_ms", "cost_usd", "served_at").dropDuplicates(["request_no"])
+    rows = once(table(spark, sf_dir, "analyze_response_meta").select("request_no", "model_used", "platform_detected", "duration_ms", "cost_usd", "served_at"), "request_no")
     metrics = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("duration_ms", "cost_usd")))).alias("m")
     long = rows.select("model_used", "platform_detected", F.to_date("served_at").alias("day"), metrics).select("model_used", "platform_detected", "day", "m.metric", "m.value")
     return qdigest.digests(long, ["model_used", "platform_detected", "metric", "day"], "value", EPS)
