@@ -772,20 +772,20 @@ def secret_rows(spark, d):
 
 
 def _attempts_sql() -> str:
-    gate = " OR ".join(f"contains(lower(log_text), {q(w)})" for w in P.TRIPWIRES)
+    gate = " OR ".join(f"contains(lower(command), {q(w)})" for w in P.TRIPWIRES)
     by = {n: k for k, names in P.INJECTION_SEVERITY.items() for n in names}
     c, parts = "c0", []
     for name, p in P.INJECTIONS:
-        parts.append(f"SELECT request_no, {q(name)} AS name, {q(by.get(name, 'low'))} AS severity, len(regexp_extract_all({c}, {q(p)})) AS n FROM t")
+        parts.append(f"SELECT event_id, {q(name)} AS name, {q(by.get(name, 'low'))} AS severity, len(regexp_extract_all({c}, {q(p)})) AS n FROM t")
         c = f"regexp_replace({c}, {q(p)}, '[REDACTED]', 'g')"
-    cut = "array_to_string(list_transform(string_split(log_text, chr(10)), lambda x: CASE WHEN length(x) > 2000 THEN left(x, 2000) || '...[TRUNCATED]' ELSE x END), chr(10))"
-    return f"WITH t AS (SELECT request_no, {cut} AS c0 FROM (SELECT DISTINCT request_no, log_text FROM analyze_request) WHERE {gate}) SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
+    cut = "array_to_string(list_transform(string_split(command, chr(10)), lambda x: CASE WHEN length(x) > 2000 THEN left(x, 2000) || '...[TRUNCATED]' ELSE x END), chr(10))"
+    return f"{_COMMANDS}, t AS (SELECT event_id, {cut} AS c0 FROM e WHERE {gate}) SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
 
 
 @query(_attempts_sql())
 def attempt_rows(spark, d):
-    """X15."""
-    return X.attempt_rows(X.sanitized(table(spark, d, "analyze_request").dropDuplicates(["request_no"]), "request_no", "log_text"), "request_no")
+    """X15, of the command of each event."""
+    return X.attempt_rows(X.sanitized(_commands(spark, d), "event_id", "command"), "event_id")
 
 
 @query(f"SELECT strftime(CAST(served_at AT TIME ZONE 'UTC' AS DATE), '%Y-%m') AS month, model_used, count(*) AS calls, sum(CAST(cost_usd AS DECIMAL(18,6))) AS cost FROM {META} GROUP BY 1, 2")
@@ -802,10 +802,10 @@ def alert_hit_ratio(spark, d):
     return r.select(F.unix_micros("start").alias("start_us"), "hits", "n")
 
 
-@query(f"SELECT epoch_us(CAST(CAST(served_at AT TIME ZONE 'UTC' AS DATE) AS TIMESTAMP)) AS start_us, sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) AS cost FROM {META} WHERE served_at IS NOT NULL GROUP BY 1 HAVING sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) > 1")
+@query(f"SELECT epoch_us(CAST(CAST(served_at AT TIME ZONE 'UTC' AS DATE) AS TIMESTAMP)) AS start_us, sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) AS cost FROM {META} WHERE served_at IS NOT NULL GROUP BY 1 HAVING sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6))) > 0.05")
 def alert_cost(spark, d):
     """T11."""
-    r = pipeline.costly_days(_meta(spark, d), "served_at", "cost_usd", 1.0)
+    r = pipeline.costly_days(_meta(spark, d), "served_at", "cost_usd", 0.05)
     return r.select(F.unix_micros("start").alias("start_us"), F.col("cost").cast("decimal(38,6)").alias("cost"))
 
 
