@@ -66,8 +66,8 @@ _ADDRESS = re.compile(
 )
 _ADDRESS_CUES = ("box", "lane", "blvd", "boulevard", "street", "st.", "road", "rd", "ave", "drive", "way", "court", "close", "terrace", "rue ", "avenue", "place ", "chemin", "quai", "via ", "viale", "piazza", "calle ", "plaza", "paseo", "rua ", "travessa", "straße", "strasse", "str.", "gasse", "allee", "platz", "damm ", "ufer ", " weg ")
 _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Mx|Herr|Frau|Sr|Sra|Mme|Dra)\.? )"
-_PART = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*\.?"
-_PERSON = rf"{_TITLE}?{_PART}(?:,? {_PART}){{1,3}}"
+_PART = r"(?:[^\W\d_]\.|[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*)"
+_PERSON = rf"(?:{_TITLE}{_PART}(?:,? {_PART}){{0,3}}|{_PART}(?:,? {_PART}){{1,3}})"
 #: Words that introduce a person, and what ends the name.
 _CONTEXT = re.compile(
     rf"(?:\b(?:TODO|FIXME|XXX|HACK)\((?P<a>{_PERSON})\)"
@@ -79,6 +79,7 @@ _CONTEXT = re.compile(
     rf"|\bvalues\s*\([^()']*'(?P<g>{_PERSON})'"
     r")"
 )
+_OF = re.compile(r"\bvon\s+\Z")
 _CONTEXT_CUES = ("todo(", "fixme(", "xxx(", "hack(", "name", "user", "assigned to", 'author', 'owner', 'contact', 'reporter', 'assignee', 'customer', "_name=", "committer", "-by:", "from:", "commit:", "this is", "my name", "on-call", "on call", "touched by", "deliver to", "ed by", "greetings", "regards", " von ", "herr ", "frau ", "attn", "c/o", "values")
 _PAIR = re.compile(r"(?<![\w.'’/-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: [A-Z]\.)? [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: (?P<third>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+))?(?![\w/.]\w)")
 _SAYS = re.compile(r" (?:asked|says|said|wrote|writes|reported|reports|called|confirmed|noticed|replied|phoned|schrieb|fragte|meldete|sagte|a écrit|escribió|escreveu)\b")
@@ -223,6 +224,10 @@ def line_spans(line: str) -> list[tuple[int, int, str]]:
             a, b = m.span(g)
             pos = max(b, pos + 1)
             s = m[g]
+            if g == "f" and _OF.search(line[:a]) and not all(p[0].isupper() for p in re.findall(r"[^\W\d_]+", s)):
+                # "von" stands before anything: without capitals only a word of persons' numbers nearby tells a name
+                if not _RAISE["id_number"].search(line[max(0, a - NEAR) : a]):
+                    continue
             if g == "f":  # running text: "Last, First" or "First M. Last" before a comma
                 s = _trim(s)
                 b = a + len(s)
