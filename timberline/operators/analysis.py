@@ -186,10 +186,12 @@ def minute_density(lines: DataFrame, k: int = 20) -> DataFrame:
 
 def time_span(lines: DataFrame) -> DataFrame:
     """First and last stamp by line order, not by time."""
+    at = F.when(F.col("us").isNotNull(), F.col("pos"))  # a filter on us would evaluate its regexes once more
     return (
-        stamped(lines)
+        lines.select("doc_id", "pos", L.stamp_us(_line()).alias("us"))
         .groupBy("doc_id")
-        .agg(F.min_by("us", "pos").alias("first_us"), F.max_by("us", "pos").alias("last_us"))
+        .agg(F.min_by("us", at).alias("first_us"), F.max_by("us", at).alias("last_us"))
+        .where("first_us is not null")
         .withColumn("span_s", (F.col("last_us") - F.col("first_us")) / 1e6)
     )
 
