@@ -48,6 +48,40 @@ def test_leaders_equal_the_sequential_ones(spark):
     assert cluster.assign(df.limit(0), "id", "t").collect() == []
 
 
+def test_links_of_one_failure_are_few_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TILE", 4)  # hot buckets are cut into tiles
+    monkeypatch.setattr(cluster, "PASS_ROWS", 1)
+    r = random.Random(5)
+    syl = "bako neru mita loze vipa gusa dödi kyfu".split()
+    name = lambda: "".join(r.choice(syl) for _ in range(3))
+    core = [name() for _ in range(24)]
+    rows = [(k + 1, " ".join(core + [name() for _ in range(16)])) for k in range(60)]  # some 0.6 alike
+    rows += [(100 + k, rows[k][1] + " " + name()) for k in range(10)]
+    rows += [(200, "ab"), (201, "ab"), (202, "a"), (203, "😀é"), (204, "abc"), (205, "abcd"), (206, ""), (207, None)]
+    df = spark.createDataFrame(rows, "item bigint, text string")
+    shingles = lambda s: grams(s) if len(s) > 2 else {s}
+    like = lambda x, y: len(x & y) / len(x | y)
+    sets = {k: shingles(s) for k, s in rows if s}
+    want = {(a, b): like(sets[a], sets[b]) for a in sets for b in sets if a < b and like(sets[a], sets[b]) >= 0.75}
+    got = {(x["a"], x["b"]): x["similarity"] for x in cluster.links(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    met = [near for near in _spied(monkeypatch, cluster, "_near", lambda: cluster.links(df).collect())]
+    assert len({p for n in met for p in n}) < 2 * len(want) + 20  # of 2000 pairs of the failure
+
+
+def _spied(monkeypatch, module, name, run):
+    made, real = [], getattr(module, name)
+
+    def spy(*a):
+        out = real(*a)
+        made.append({tuple(x) for x in out.collect()})
+        return out
+
+    monkeypatch.setattr(module, name, spy)
+    run()
+    return made
+
+
 def test_components(spark):
     edges = [(i, i + 1, 1.0) for i in range(1, 40)] + [(100, 101, 1.0)]
     nodes = [(i,) for i in [*range(1, 41), 100, 101, 200]]

@@ -1,4 +1,7 @@
 import os
+import time
+
+from pyspark.sql import functions as F
 
 from timberline import session
 
@@ -20,3 +23,17 @@ def test_scope_removes_its_tables(spark):
         path = t.inputFiles()[0].removeprefix("file://")
         assert t.count() == 3 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {disk.apply(i).getName() for i in range(disk.size()) if disk.apply(i).getName().startswith("shuffle_")}
+
+    had = files()
+    t = session.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while (left := files() - had) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert t.count() == 7 and spark.conf.get(session.SHUFFLES_GO, None) in (None, "false")
